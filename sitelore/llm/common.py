@@ -17,6 +17,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def docs_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of the queries.  Arrow batches are held to 8 MB, so that long texts don't add up in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

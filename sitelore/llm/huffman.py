@@ -129,9 +129,9 @@ def tokenize_sorted(docs: DataFrame, tokenizer: str, *, end_id: int = 0) -> Data
 
         encoder, shard, pos = encoder_for(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()]
+            doc_ids, texts = batch.column("doc_id"), batch.column("text")
             for a, b in slices(texts):
-                ids, sizes = encoder.encode(texts[a:b])
+                ids, sizes = encoder.encode(texts.slice(a, b - a))
                 ends = np.cumsum(sizes)
                 parts = [np.append(ids[e - n : e], np.uint32(end_id)).astype("<u4").tobytes() for e, n in zip(ends, sizes, strict=True)]
                 at = pos + np.cumsum(sizes + 1) - (sizes + 1)

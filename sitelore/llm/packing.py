@@ -169,11 +169,10 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, capacity: int = 40
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            texts = [t or "" for t in texts]
+            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for a, b in slices(texts):
                 out: list[tuple] = []
-                ids, sizes = encoder.encode(texts[a:b])
+                ids, sizes = encoder.encode(texts.slice(a, b - a))
                 ends = np.cumsum(sizes)
                 for k in range(b - a):
                     own = np.empty(int(sizes[k]) + 1, "<u4")

@@ -2,20 +2,25 @@
 
 A text is cut only where its tokenizer cuts as well, so the ids are those of the
 whole text; each distinct piece goes through the library once while it is cached.
+Cutting and collecting distinct pieces are Arrow kernels over whole batches.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Characters at which a text isn't cut: white space but blank and line feed, and a few on whose class regex libraries differ.
-_ODD = re.compile("[^\\S \\n]|[\\x00\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]")
-#: A stop or comma that ends a longer run of signs.
-_SIGNS = re.compile(r"[^A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff][.,](?=[ \n])")
+#: Texts with these are not cut: white space but blank and line feed, and characters on whose class regex libraries differ.
+_ODD = "[\\x00-\\x09\\x0b-\\x1f\\x7f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
+#: Nor are, by tokenizers that keep white space, texts with runs of it.
+_RUNS = "  |\\n\\n| \\n|\\n "
+#: A stop or comma that ends a longer run of signs isn't cut off.
+_SIGNS = "[^A-Za-z0-9\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{ff}][.,][ \\n]"
 
 
 class _Index(dict):
@@ -37,7 +42,7 @@ class PieceEncoder:
     ``max_pieces`` bounds the cache (it is emptied when full), not the input.
     """
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000) -> None:
+    def __init__(self, path: str, max_pieces: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,38 +61,42 @@ class PieceEncoder:
         self.lens = np.zeros(1 << 15, np.int64)
         self.used = 0
 
-    def _pieces(self, text: str) -> list[str]:
-        """Cut before each blank, around each line feed and before a stop or comma that ends a word."""
-        if _ODD.search(text):
-            return [text]
-        if not self.drops_space:
-            if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-                return [text]
-            cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
-            if not _SIGNS.search(text):
-                cut = cut.replace(".\0", "\0.\0").replace(",\0", "\0,\0")
-            return cut.split("\0")
-        if not _SIGNS.search(text):
-            text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ")
-        return text.split()
+    def _one(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
+        """Pieces: cut before each blank, around each line feed and before a stop or comma that ends a word."""
+        signs = pc.match_substring_regex(texts, _SIGNS)
+        if self.drops_space:
+            loose = texts
+            for sign in ".,":
+                for space in " \n":
+                    loose = pc.replace_substring(loose, sign + space, f" {sign} ")
+            return pc.split_pattern(pc.replace_substring(pc.if_else(signs, texts, loose), "\n", " "), " ")
+        texts = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
+        loose = pc.replace_substring(pc.replace_substring(texts, ".\0", "\0.\0"), ",\0", "\0,\0")
+        return pc.split_pattern(pc.if_else(signs, texts, loose), "\0")
 
     def _encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of new pieces, in long runs cut at a separator whose id no piece can hold: one call costs more than a word."""
-        rough = [i for i, p in enumerate(pieces) if self.mark in p or not p.strip()]
-        odd = set(rough)
+        """Ids of new pieces, in runs cut at a separator whose id no piece can hold: one call costs more than a word."""
+        odd = {i for i, p in enumerate(pieces) if self.mark in p or not p.strip()}
         plain = [p for i, p in enumerate(pieces) if i not in odd] if odd else pieces
-        runs = [self.separator.join(["", *plain[i : i + 8192], ""]) for i in range(0, len(plain), 8192)]
+        runs = [self.separator.join(["", *plain[i : i + 64], ""]) for i in range(0, len(plain), 64)]
         parts = [np.fromiter(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
-        at = [np.flatnonzero(x == self.mark_id) for x in parts]
-        lens = np.concatenate([np.diff(a) - 1 for a in at]) if at else np.zeros(0, np.int64)
-        ids = np.concatenate([x[x != self.mark_id] for x in parts]) if parts else np.zeros(0, np.uint32)
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        marks = np.flatnonzero(ids == self.mark_id)
+        lens = np.diff(marks) - 1
+        if parts:  # a run ends where the next one begins
+            per_run = np.fromiter((min(64, len(plain) - i) + 1 for i in range(0, len(plain), 64)), np.int64)
+            lens = np.delete(lens, np.cumsum(per_run)[:-1] - 1)
+        ids = ids[ids != self.mark_id]
         if len(lens) != len(plain):
             raise AssertionError("the separator's id is in a piece")
         if not odd:
             return ids, lens
         ends = np.cumsum(lens)
         own = iter([ids[b - n : b] for b, n in zip(ends, lens, strict=True)])
-        rows = [np.asarray(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint32) if i in odd else next(own) for i, p in enumerate(pieces)]
+        rows = [self._one(p) if i in odd else next(own) for i, p in enumerate(pieces)]
         return np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
 
     def _learn(self) -> None:
@@ -96,37 +105,33 @@ class PieceEncoder:
         got, lens = self._encode_new(new)
         need, count = self.used + int(lens.sum()), len(self.index)
         if need > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), np.uint32)])
+            self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat) // 2), np.uint32)])
         if count > len(self.lens):
-            more = np.zeros(max(count, len(self.lens)), np.int64)
+            more = np.zeros(max(count, len(self.lens) // 2), np.int64)
             self.starts, self.lens = np.concatenate([self.starts, more]), np.concatenate([self.lens, more])
         self.flat[self.used : need] = got
         self.lens[first:count] = lens
         self.starts[first:count] = self.used + np.cumsum(lens) - lens
         self.used = need
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts one after another, and the number of ids of each text."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (null: empty) one after another, and the number of ids of each text."""
         if len(self.index) > self.max_pieces:
             self._reset()
-        pieces: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        whole: dict[int, np.ndarray] = {}
-        for i, text in enumerate(texts):
-            part = self._pieces(text)
-            if len(part) == 1:
-                whole[i] = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                continue
-            counts[i] = len(part)
-            pieces += part
-        codes = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        texts = pc.fill_null(texts, "")
+        hard = pc.match_substring_regex(texts, _ODD if self.drops_space else f"{_ODD}|{_RUNS}")
+        cut = self._cut(pc.if_else(hard, "", texts))
+        words = cut.flatten().dictionary_encode()
+        codes = np.fromiter(map(self.index.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
         if self.index.new:
             self._learn()
+        codes = codes[words.indices.to_numpy()]
         lens = self.lens[codes]
         ends = np.cumsum(lens)
         ids = self.flat[np.repeat(self.starts[codes] - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        edge = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        edge = np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
         sizes = np.diff(edge)
+        whole = {i: self._one(texts[i].as_py()) for i in np.flatnonzero(hard.to_numpy(zero_copy_only=False)).tolist()}
         if whole:
             parts = [whole[i] if i in whole else ids[edge[i] : edge[i + 1]] for i in range(len(texts))]
             ids, sizes = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
@@ -139,12 +144,12 @@ def encoder_for(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def slices(texts: list[str], chars: int = 2_000_000):
-    """Ranges of texts with about ``chars`` characters, one text at least, to bound the arrays of a step."""
+def slices(texts: pa.Array, most: int = 6_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``most`` bytes, one text at least, to bound the arrays of a step."""
     at, total = 0, 0
-    for i, text in enumerate(texts):
-        total += len(text)
-        if total >= chars:
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        total += n or 0
+        if total >= most:
             yield at, i + 1
             at, total = i + 1, 0
     if at < len(texts):
