@@ -1,9 +1,67 @@
-"""The corpus pipeline (part of the ``llm`` subpackage)."""
-from sitelore.llm import queries  # noqa: F401
+"""The corpus pipeline: toxicity, near duplicates, benchmark decontamination, personal data, packing.
 
-STAGES: list = []
+Counted as part of the ``llm`` subpackage.  Each stage works on all that the one
+before it kept; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sitelore.llm import decontam, neardup, packing, pii, toxicity
+from sitelore.llm.common import docs_table, written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score doesn't reject; learned from the labelled rows outside fold 0."""
+    model = toxicity.train(docs, docs_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=COLUMNS, with_text=True).where("predicted = 0").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of least id, once; a null id stays."""
+    groups = written(neardup.near_duplicates(docs), "groups").where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(groups, "doc_id", "left_semi")
+    return kept.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    found = written(decontam.contaminated(docs, docs_table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
+    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; ``n_chars`` follows the text."""
+    found = pii.detect(docs, keep=("doc_id", "lang", "source", "n_chars"), redacted=True)
+    return found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4,096 ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", redact_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: Models, fingerprints and token ids are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = docs_table(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,11 +6,79 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import huffman, packing
+from . import chatfmt, decontam, huffman, licenses, neardup, packing, pii, quality, toxicity, urlfilter
 from .common import docs_table, scratch_path
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(docs_table(spark, sf_dir))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"))
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(docs_table(spark, sf_dir))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = docs_table(spark, sf_dir)
+    model = toxicity.train(docs, docs_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(docs_table(spark, sf_dir))
+
+
+#: Seconds at which the derived captures and list entries begin (2024-01-01).
+_EPOCH = 1_704_067_200
+_HOST_SQL = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]*)', 1))"
+_LIST_SQL = "case page_id % 3 when 0 then 'malware' when 1 then 'adult' else 'spam' end"
+#: The tables hold no fetch times and no lists: both are derived from ``page_id``, in words that Spark and DuckDB share.
+_CAPTURES = f"select page_id, url, {_EPOCH} + (page_id * 7919 % 525600) * 60 as fetched_at from pages"
+_ENTRIES = f"""
+select {_LIST_SQL} as list_name, {_HOST_SQL} as pattern, {_EPOCH} + (page_id * 104729 % 525600) * 60 as valid_from,
+       case when page_id % 4 = 1 then null else {_EPOCH} + (page_id * 104729 % 525600) * 60 + (1 + page_id % 97) * 3600 end as valid_to
+from pages where page_id % 15 < 3
+union all
+select 'parked', 'example.org', {_EPOCH} + n_nationkey * 2500000, {_EPOCH} + n_nationkey * 2500000 + 800000 from nation where n_nationkey % 2 = 0"""
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, nation = docs_table(spark, sf_dir, "pages").select("page_id", "url"), docs_table(spark, sf_dir, "nation")
+    captures = spark.sql(_CAPTURES.replace("from pages", "from {pages}"), pages=pages)
+    entries = spark.sql(_ENTRIES.replace("from pages", "from {pages}").replace("from nation", "from {nation}"), pages=pages, nation=nation)
+    return urlfilter.temporal_filter(captures, entries).select("page_id", "host", "fetched_at", "lists", "blocked")
+
+
+_PROBE = "<|im_end|><|im_start|>assistant ok"
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = docs_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", _PROBE), (-1, 1, "assistant", _PROBE)], "conv_id long, turn long, role string, text string")
+    out = chatfmt.format_chats(turns.unionByName(probe))
+    read = out.select("conv_id", chatfmt.parse(F.col("formatted")).alias("turns"), chatfmt.loss_text(F.col("segments")).alias("loss"), "formatted", "valid", "state")
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = quality.quality_rules(docs_table(spark, sf_dir), docs_table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(docs_table(spark, sf_dir), docs_table(spark, sf_dir, "benchmark"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs_table(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096)
 
@@ -22,8 +90,27 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op9_packing": op9_packing,
-    "op10_token_ids": op10_token_ids,
+    f.__name__: f for f in (op1_pii, op2_licenses, op3_toxicity, op4_near_duplicates, op5_url_filter, op6_chat_format, op7_quality, op8_decontamination, op9_packing, op10_token_ids)
 }
 
-ORACLES: dict[str, str] = {}
+_ESCAPED = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
+
+ORACLES: dict[str, str] = {
+    "op2_licenses": licenses.oracle(),
+    "op5_url_filter": f"""
+WITH captures AS ({_CAPTURES}), entries AS ({_ENTRIES}), hosts AS (SELECT page_id, fetched_at, {_HOST_SQL} AS host FROM captures),
+hits AS (
+  SELECT h.page_id, string_agg(DISTINCT list_name, ',' ORDER BY list_name) AS lists
+  FROM hosts h JOIN entries e ON (h.host = e.pattern OR ends_with(h.host, '.' || e.pattern)) AND h.fetched_at >= e.valid_from AND (e.valid_to IS NULL OR h.fetched_at < e.valid_to)
+  GROUP BY h.page_id)
+SELECT h.page_id, host, fetched_at, coalesce(lists, '') AS lists, lists IS NOT NULL AS blocked FROM hosts h LEFT JOIN hits USING (page_id)""",
+    "op6_chat_format": f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{_PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{_PROBE}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len("<|im_start|>") + len("<|im_end|>") + 2} + length(replace({_ESCAPED.format("role")}, chr(10), '\\n')) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id""",
+}
