@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import flows, inputs, verdicts
+
+QUERIES = {**inputs.QUERIES, **verdicts.QUERIES, **flows.QUERIES}
+ORACLES: dict[str, str] = {**inputs.ORACLES, **verdicts.ORACLES, **flows.ORACLES}
