@@ -141,10 +141,16 @@ def learn_lexicon(rows: DataFrame, *, most: int = MOST_TERMS) -> TextTerms:
     seen, share = F.col("p") + F.col("n"), all_p / (all_p + all_n)
     ratio = 2 * (F.col("p") * F.log(F.col("p") / (seen * share)) + F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / (seen * (1 - share)))).otherwise(0.0))
     top = counted.where("term <> ''").select("term", odds.alias("odds"), ratio.alias("ratio")).where("odds > 1.8 and ratio > 35").orderBy(F.desc("ratio"), F.desc(F.length("term")), "term").limit(20 * most).collect()
+    best: dict[str, float] = {}
+    for row in top:
+        if not row["term"].endswith("$"):
+            best[row["term"].rstrip("+")] = max(row["ratio"], best.get(row["term"].rstrip("+"), 0.0))
     taken: TextTerms = []
     for row in top:
         text = row["term"].rstrip("$+")
         whole = row["term"].endswith("$")
+        if not whole:  # a shorter stem that says nearly as much covers more words
+            text = next(text[:k] for k in range(3, len(text) + 1) if best.get(text[:k], 0.0) >= 0.8 * row["ratio"])
         if any(text.startswith(t.text) or t.text.startswith(text) for t, _ in taken) or len(text) < 3:
             continue
         errors = 0 if not whole or len(text) < 5 else 1 if len(text) < 9 else 2
