@@ -82,7 +82,6 @@ def test_pipeline_by_stages(spark):
     columns = docs.columns
     labels, bench = spark.read.parquet(f"{SMALL}/labels.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "pii", "packing"]
-    kept = {}
     for name, stage in corpus_pipeline.STAGES:
         after = stage(spark, docs, SMALL).cache()
         before, ids = docs.collect(), Counter(r["doc_id"] for r in after.collect()) if name != "packing" else None
@@ -106,8 +105,9 @@ def test_pipeline_by_stages(spark):
             assert {r["doc_id"]: r["n"] for r in got} == want == {r["doc_id"]: r["m"] for r in got}
         if name != "packing":
             assert after.columns == columns
-        kept[name], docs = after.count(), after
-    assert corpus_pipeline.run(spark, SMALL).count() == kept["packing"]
+        docs = after
+    # where documents are cut depends on how they lie in partitions; what is packed doesn't
+    assert {r["doc_id"]: r["n"] for r in corpus_pipeline.run(spark, SMALL).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == want
 
 
 def test_pipeline_edges(spark, edges, nothing):
