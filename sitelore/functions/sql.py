@@ -31,9 +31,22 @@ FUNCTIONS = (
     ("base64_line", "text STRING", "STRING", "translate(base64(encode(text, 'utf-8')), '\\r\\n', '')"),
 )
 
+#: Table functions, one for each verdict: used with LATERAL, they inline as well.
+TABLE_FUNCTIONS = (
+    ("trust_verdict", "domain STRING, days INT, has_a BOOLEAN, has_mx BOOLEAN, registrar STRING", "age INT, tld INT, dns INT, registrar_score INT, score INT, tier STRING",
+     "SELECT age_points(days), tld_points(domain), dns_points(has_a, has_mx), registrar_points(registrar), trust_points(domain, days, has_a, has_mx, registrar), trust_tier(trust_points(domain, days, has_a, has_mx, registrar))"),
+    ("tls_verdict", "days INT, self_signed BOOLEAN, auth_error STRING, trusted BOOLEAN, score INT", "tier STRING",
+     "SELECT CASE WHEN days < 0 THEN 'EXPIRED' WHEN self_signed THEN 'UNTRUSTED' WHEN coalesce(auth_error, '') <> '' THEN 'INVALID' WHEN NOT trusted THEN 'UNTRUSTED' WHEN days < 7 THEN 'EXPIRING' WHEN score < 70 THEN 'WEAK' ELSE 'VALID' END"),
+    ("header_verdict", "score INT", "grade STRING", "SELECT header_grade(score)"),
+    ("crawl_verdict", "robots_exists BOOLEAN, global_block BOOLEAN, blocked INT, partial INT", "tier STRING",
+     f"SELECT CASE WHEN NOT robots_exists THEN 'NO_ROBOTS_TXT' WHEN global_block AND blocked = {len(R.BOTS)} THEN 'BLOCKED_ALL' WHEN blocked > {len(R.BOTS) // 2} THEN 'BLOCKED_AI' WHEN blocked > 0 OR partial > {len(R.BOTS) // 3} THEN 'SELECTIVE' ELSE 'OPEN' END"),
+)
+
 
 def register(spark: SparkSession) -> None:
     for name, parameters, kind, body in FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
+    for name, parameters, columns, body in TABLE_FUNCTIONS:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS TABLE({columns}) RETURN {body}")
     traffic.endpoints(spark).createOrReplaceTempView("endpoints")
     spark.createDataFrame([(i, b) for i, b in enumerate(R.BOTS)], "place int, bot string").createOrReplaceTempView("known_bots")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from sitelore.functions import sql
 from sitelore.operators import traffic
+from sitelore.operators.normalize_strict import normalize_strict, strict_host
 from sitelore.plans import verdicts
 from sitelore.plans.fixtures import view
-from sitelore.sources import observations
+from sitelore.sources import observations, sinks
 from sitelore.streaming import traffic as stream
 
 from .conftest import SMALL
@@ -100,3 +101,33 @@ def test_entry(spark):
 def test_plans_push_down_and_stay_narrow(spark):
     plan = verdicts.QUERIES["header_grade"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "ReadSchema: struct<page_id:bigint,url:string>" in plan
+
+
+def test_table_functions(spark):
+    sql.register(spark)
+    scored = verdicts.scored_trust(spark, SMALL).withColumn("d", F.expr("case when age_label = 'unknown' then null else age_days end"))
+    scored.createOrReplaceTempView("scored_trust")
+    joined = spark.sql("select t.score as s, t.tier as t, f.score, f.tier from scored_trust t, lateral trust_verdict(t.domain, t.d, t.has_a, t.has_mx, t.registrar) f")
+    assert joined.where("s <> score or t <> tier").count() == 0 and joined.count() == scored.count()
+    certs = verdicts.scored_tls(spark, SMALL).where("error is null").select("days_remaining", "is_self_signed", "auth_error", "trusted", "score", "tier")
+    certs.createOrReplaceTempView("scored_tls")
+    assert spark.sql("select 1 from scored_tls t, lateral tls_verdict(t.days_remaining, t.is_self_signed, t.auth_error, t.trusted, t.score) f where f.tier <> t.tier").count() == 0
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("/robots", 200, '{"a":1}'), ("/robots", 502, "<html>")], "path string, status int, text string")
+    got = rows.select("status", sinks.tool_result(F.col("path"), F.col("status"), F.col("text")).alias("r"), sinks.error_body(F.col("status"), F.lit("e"), F.lit("m"), F.lit("d")).alias("b")).orderBy("status").collect()
+    assert (got[0]["r"]["is_error"], got[0]["r"]["text"], got[0]["b"]) == (False, '{"a":1}', None)
+    assert got[1]["r"]["text"] == 'HTTP 502 from /robots:\n{"raw":"<html>","status":502}' and got[1]["b"] == '{"error":"e","domain":"d","message":"m"}'
+    assert [x.count() for x in sinks.route(rows)] == [1, 1]
+    url = spark.range(1).select(sinks.request_url(F.lit("https://h/"), F.lit("/robots"), "domain", F.lit("a b&c")).alias("u"), sinks.wants_html(F.lit("text/html,*/*")).alias("w")).first()
+    assert url["u"] == "https://h/robots?domain=a+b%26c" and url["w"]
+    sinks.write_verdicts(verdicts.QUERIES["trust_score"](spark, SMALL), str(tmp_path / "v"))
+    plan = spark.read.parquet(str(tmp_path / "v")).where("tier = 'TRUSTED'")
+    assert plan.count() > 0 and "PartitionFilters: [isnotnull(tier" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("raw", "host"), [("2130706433", "127.0.0.1"), ("http://0x7f.1/", "127.0.0.1"), ("https://exa%6Dple.com\\x", "example.com"), ("münchen.de", "xn--mnchen-3ya.de"), ("http://[::1]:80/", "[::1]"), ("h.com:99999", None), ("http://a b.com", None), ("http://1.2.3.4.5", None), ("", None), ("ht\ntps://a.b", "a.b")])
+def test_strict_hosts(spark, raw, host):
+    assert strict_host(raw) == host
+    assert spark.createDataFrame([(raw,)], "r string").select(normalize_strict("r").alias("h")).first()["h"] == host
