@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A pattern's captures are spread over so many parts where they meet its lists, whose few rows are repeated.
+SALTS = 32
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
 
 
@@ -42,9 +44,10 @@ def temporal_filter(captures: DataFrame, entries: DataFrame, *, bucket: int = 86
         "list_name", F.lower("pattern").alias("pattern"), F.col("valid_from").cast("long").alias("t"), F.coalesce(F.col("valid_to").cast("long"), F.lit((1 << 63) - 1)).alias("until")
     )
     valid = valid.groupBy("list_name", "pattern", "t").agg(F.max("until").alias("until")).withColumn("bucket", F.floor(F.col("t") / bucket))
-    keys = valid.select("list_name", "pattern").distinct()
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    keys = valid.select("list_name", "pattern").distinct().select("*", salts)
     asked = (
-        pairs.select("host", "t", F.explode(patterns_of(F.col("host"))).alias("pattern")).join(keys, "pattern")
+        pairs.select("host", "t", F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(patterns_of(F.col("host"))).alias("pattern")).join(keys, ["pattern", "salt"])
         .select("list_name", "pattern", "t", "host", F.floor(F.col("t") / bucket).alias("bucket"))
     )
     places = valid.groupBy("list_name", "pattern", "bucket").agg(F.max("until").alias("until")).unionByName(asked.select("list_name", "pattern", "bucket").distinct().withColumn("until", F.lit(None).cast("long")))
