@@ -117,12 +117,20 @@ def decode_block(data: bytes, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.
     return out.T.reshape(-1)[:count], doc_ids, null, sizes
 
 
+def width_for(tokenizer: str) -> str:
+    """How ids are held between passes: two bytes where the vocabulary allows."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def tokenize_sorted(docs: DataFrame, tokenizer: str, *, end_id: int = 0) -> DataFrame:
     """``IDS`` rows in ascending ``doc_id`` order: range partitions, numbered in order, sorted within.
 
     Text is shuffled, not ids: the range sampling then reads only the scan.
     """
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    width = width_for(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -132,49 +140,40 @@ def tokenize_sorted(docs: DataFrame, tokenizer: str, *, end_id: int = 0) -> Data
             doc_ids, texts = batch.column("doc_id"), batch.column("text")
             for a, b in slices(texts):
                 ids, sizes = encoder.encode(texts.slice(a, b - a))
+                whole = np.insert(ids, np.cumsum(sizes), end_id).astype(width)
+                sizes = sizes + 1
                 ends = np.cumsum(sizes)
-                parts = [np.append(ids[e - n : e], np.uint32(end_id)).astype("<u4").tobytes() for e, n in zip(ends, sizes, strict=True)]
-                at = pos + np.cumsum(sizes + 1) - (sizes + 1)
-                pos += int((sizes + 1).sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(b - a, shard, np.int32)), pa.array(at), doc_ids.slice(a, b - a).cast(pa.int64()), pa.array(sizes + 1), pa.array(_halved(parts), pa.binary())],
-                    names=["shard", "pos", "doc_id", "n_tokens", "ids"],
-                )
+                at = pos + ends - sizes
+                pos += int(ends[-1])
+                offsets = np.concatenate([[0], ends * whole.itemsize]).astype(np.int32)
+                held = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(whole)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, shard, np.int32)), pa.array(at), doc_ids.slice(a, b - a).cast(pa.int64()), pa.array(sizes), held], names=["shard", "pos", "doc_id", "n_tokens", "ids"])
 
     return ordered.mapInArrow(run, IDS)
 
 
-def _halved(parts: list[bytes]) -> list[bytes]:
-    """Two planes, low halves first: general compressors do better on them."""
-    out = []
-    for p in parts:
-        x = np.frombuffer(p, "<u4")
-        out.append((x & 0xFFFF).astype("<u2").tobytes() + (x >> 16).astype("<u2").tobytes() if x.max(initial=0) > 0xFFFF else (x & 0xFFFF).astype("<u2").tobytes())
-    return out
-
-
-def _joined(part: bytes, n: int) -> np.ndarray:
-    low = np.frombuffer(part, "<u2", n).astype(np.uint32)
-    return low if len(part) == 2 * n else low | (np.frombuffer(part, "<u2", n, 2 * n).astype(np.uint32) << 16)
+def _all_ids(column: pa.Array, width: str) -> np.ndarray:
+    """The ids of a batch's rows one after another, without a copy."""
+    _, offsets, data = column.buffers()
+    if data is None:
+        return np.zeros(0, width)
+    edge = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, width, (int(edge[-1]) - int(edge[0])) // np.dtype(width).itemsize, int(edge[0]))
 
 
-def id_counts(ids: DataFrame) -> np.ndarray:
+def id_counts(ids: DataFrame, width: str) -> np.ndarray:
     """Counts of all ids of the corpus: summed in each task, then by id; the vocabulary bounds what the driver gets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for part, n in zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True):
-                got = np.bincount(_joined(part, n))
-                if len(got) > len(total):
-                    got[: len(total)] += total
-                    total = got
-                else:
-                    total[: len(got)] += got
+            got = np.bincount(_all_ids(batch.column("ids"), width), minlength=len(total))
+            got[: len(total)] += total
+            total = got
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    rows = ids.select("ids", "n_tokens").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 0, np.int64)
     counts[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return counts
@@ -191,7 +190,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 0)
     held = scratch_path(spark, "ids")
     tokenize_sorted(docs, tokenizer, end_id=end_id).write.option("compression", "zstd").parquet(held)
     ids = spark.read.schema(IDS).parquet(held)
-    lengths = code_lengths(id_counts(ids))
+    width = width_for(tokenizer)
+    lengths = code_lengths(id_counts(ids, width))
     spark.createDataFrame([(lengths.tobytes(), MAX_BITS, CHECKPOINT)], "lengths binary, max_bits int, checkpoint int").coalesce(1).write.parquet(f"{path}/codebook")
     shards = {r["shard"]: r["n"] for r in ids.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()}  # a row for each range partition
     starts, at = {}, 0
@@ -205,7 +205,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 0)
         held: list[tuple] = []
 
         def block() -> pa.RecordBatch:
-            parts = [_joined(row[4], row[3]) for row in held]
+            parts = [np.frombuffer(row[4], width) for row in held]
             data = encode_block(np.concatenate(parts), [r[2] for r in held], np.fromiter(map(len, parts), np.int64, len(parts)), codes, lengths)
             row = {"shard": held[0][0], "pos": starts[held[0][0]] + held[0][1], "n_tokens": sum(r[3] for r in held), "first_doc": held[0][2], "last_doc": held[-1][2], "data": data}
             return pa.RecordBatch.from_pylist([row], schema)
