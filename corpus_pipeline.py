@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from sitelore.llm import decontam, neardup, packing, pii, toxicity
 from sitelore.llm.common import docs_table, written
 
+#: Ids that may be sent to every task: 8 MB.
+BROADCAST_IDS = 1_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -25,16 +27,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of least id, once; a null id stays."""
-    groups = written(neardup.near_duplicates(docs), "groups").where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(groups, "doc_id", "left_semi")
-    return kept.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """One document of each group of near duplicates: the one of least id; a null id stays.
+
+    The ids to drop are few and narrow: up to ``BROADCAST_IDS`` they are sent to
+    all tasks and no text moves; beyond, the texts are shuffled once.
+    """
+    found = neardup.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept"))
+    dropped = written(found.where("not kept").select("doc_id"), "dropped", rows=docs.count())
+    few = dropped.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a benchmark item."""
-    found = written(decontam.contaminated(docs, docs_table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold no passage of a benchmark item; dropped in the pass that scans them."""
+    return decontam.uncontaminated(docs, docs_table(spark, sf_dir, "benchmark"), keep=COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -276,15 +276,50 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, similarity: float = S
     are all reported; repeated rows each report; null ids stay null; other columns
     are ignored; empty tables give no rows.
     """
+    out = None
+    for index in _indexes(benchmark, similarity, recall, block_words):
+        found = _scan(docs, index)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ...], similarity: float = SIMILARITY, recall: float = RECALL, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` (columns ``keep``, the text among them) that hold no passage of any item, in one pass without a join."""
+    for index in _indexes(benchmark, similarity, recall, block_words):
+        docs = _drop(docs.select(*keep), index)
+    return docs
+
+
+def _indexes(benchmark: DataFrame, similarity: float, recall: float, block_words: int) -> Iterator[Index]:
+    """Indexes of about ``block_words`` words each, over all items together."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(size / block_words))
-    out = None
     for block in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        found = _scan(docs, Index([(r["item_id"], r["text"]) for r in own.collect()], similarity, recall))  # ``block_words`` words or so
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield Index(sorted(((r["item_id"], r["text"]) for r in own.collect()), key=str), similarity, recall)
+
+
+def _hits(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
+    """(row, entry, distance, end word) of all passages in a batch's texts."""
+    for a, b in slices(texts) if index.items else ():
+        cut = normal_words(texts.slice(a, b - a))
+        ids = pc.fill_null(pc.add(pc.index_in(cut.flatten(), index.vocabulary), 1), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        edge = (cut.offsets.to_numpy() - cut.offsets[0].as_py()).astype(np.int64)
+        for text, entry, distance, end in index.scan(ids, edge):
+            yield a + text, entry, distance, end
+
+
+def _drop(docs: DataFrame, index: Index) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[row for row, *_ in _hits(shared.value, batch.column("text"))]] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _scan(docs: DataFrame, index: Index) -> DataFrame:
@@ -293,18 +328,13 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            doc_ids, texts, rows = batch.column("doc_id").to_pylist(), batch.column("text"), []
-            for a, b in slices(texts) if index.items else ():
-                cut = normal_words(texts.slice(a, b - a))
-                flat = cut.flatten()
-                ids = pc.fill_null(pc.add(pc.index_in(flat, index.vocabulary), 1), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                edge = (cut.offsets.to_numpy() - cut.offsets[0].as_py()).astype(np.int64)
-                best: dict[tuple[int, int], tuple[int, int]] = {}
-                for text, entry, distance, end in index.scan(ids, edge):
-                    best[text, entry] = min(best.get((text, entry), (1 << 30, 0)), (distance, end))
-                for (text, entry), (distance, end) in best.items():
-                    n = len(index.items[entry])
-                    rows += [(doc_ids[a + text], item, n, distance, 1 - distance / n, end) for item in index.item_ids[entry]]
+            doc_ids, rows = batch.column("doc_id").to_pylist(), []
+            best: dict[tuple[int, int], tuple[int, int]] = {}
+            for row, entry, distance, end in _hits(index, batch.column("text")):
+                best[row, entry] = min(best.get((row, entry), (1 << 30, 0)), (distance, end))
+            for (row, entry), (distance, end) in best.items():
+                n = len(index.items[entry])
+                rows += [(doc_ids[row], item, n, distance, 1 - distance / n, end) for item in index.item_ids[entry]]
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
