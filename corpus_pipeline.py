@@ -1,7 +1,11 @@
 """The corpus pipeline: toxicity, near duplicates, benchmark decontamination, personal data, packing.
 
 Counted as part of the ``llm`` subpackage.  Each stage works on all that the one
-before it kept; all but the last return the columns of ``documents``.
+before it kept; all but the last return the columns of ``documents``, whatever
+other columns come in.  Null texts count as empty and stay null; rows of a null id
+are judged by their text and never dropped as copies; rows that share an id share
+the near-duplicate stage's decision and are judged one by one elsewhere; empty
+tables pass through every stage.
 """
 
 from __future__ import annotations
