@@ -50,8 +50,14 @@ def remove_path(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str, *, compression: str = "zstd") -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again."""
+def written(df: DataFrame, name: str, *, rows: int | None = None, compression: str = "zstd") -> DataFrame:
+    """Cut the lineage: write to the shared folder and read again.
+
+    With ``rows``, a bound of a narrow table's size, its files hold half a million
+    rows or so each: small tables of many partitions don't become many files.
+    """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // 500_000)))
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -76,3 +82,9 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 def crc_fold(column, folds: int = 5):
     """crc32 of the id as text, modulo ``folds``; null ids fall in fold 0."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % folds, F.lit(0))
+
+
+def hash_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``most`` rows (all, if there are fewer), those of least key hash: the same rows on every run, chosen where they lie."""
+    n = rows.count()
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * most / n))

@@ -18,7 +18,7 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     round ends in a written table, so a lost executor costs one round.  Loops and
     repeated edges are allowed; no edges give no rows; null ends are ignored.
     """
-    now = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    now, size = edges.select("a", "b").where("a <> b"), edges.count()
     before = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -27,7 +27,7 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         joined = down.join(least, "a")
-        now = written(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(joined.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        now = written(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(joined.select("a", F.col("m").alias("b"))).distinct(), "edges", rows=size)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break

@@ -6,9 +6,10 @@ by its halves, and by its halves with each single bit made a wildcard; an
 equality of keys finds every pair, which is then verified.  Copies collapse to
 one fingerprint before that.  Pairs are never written out: each bucket of equal
 keys yields the stars of its verified links, which keep all reachability.  A
-bucket over ``cap`` fingerprints is indexed again by the same rule on the rest
-of the bits (16, then 8 bits a segment), after which at most 2,048 different
-fingerprints can share a key: the split is exact, whatever a group's size.
+bucket over ``cap`` fingerprints, known from counts beforehand, is never formed:
+its rows are indexed again by the same rule on the rest of the bits (16, then 8
+bits a segment), after which at most 2,048 different fingerprints can share a
+key: the split is exact, whatever a group's size.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,14 +112,27 @@ def _again(fps: np.ndarray, key: int, level: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(keys).view(np.int64), np.concatenate(values).view(np.int64)
 
 
-def _buckets(keyed: DataFrame, level: int, cap: int) -> DataFrame:
-    """Runs of equal keys to rows (edge, a, b): the links' stars (edge true), or the next level's (key, fp) of a large run."""
+def _deepened(hot: DataFrame, level: int) -> DataFrame:
+    """(key, fp) of large buckets to (key, fp) of the next level, row by row wherever the rows are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_k, rest_f, spilled = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        for batch in batches:
+            keys, fps = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+            order = np.argsort(keys, kind="stable")
+            cut = np.flatnonzero(np.diff(keys[order])) + 1
+            for part in np.split(order, cut):
+                if len(part):
+                    a, b = _again(fps[part], int(keys[part[0]]), level)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["key", "fp"])
+
+    return hot.select("key", "fp").mapInArrow(run, "key long, fp long")
+
 
-        def out(edge: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), edge)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["edge", "a", "b"])
+def _buckets(keyed: DataFrame, level: int) -> DataFrame:
+    """Equal keys brought together: (a, b), the stars of the links in each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest_k, rest_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def done(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
             cut = np.flatnonzero(np.diff(keys)) + 1
@@ -125,58 +140,61 @@ def _buckets(keyed: DataFrame, level: int, cap: int) -> DataFrame:
             a, b = [], []
             for i in np.flatnonzero(np.diff(edges) > 1):
                 key, own = int(keys[edges[i]]), fps[edges[i] : edges[i + 1]].view(np.uint64)
-                if level < 3 and len(own) > cap:
-                    yield out(False, *_again(own, key, level))
-                    continue
                 if level == 1 and (key >> 32) % 33 < 32:  # with a wildcard: only a pair that differs there is new
                     bit = np.uint64((key >> 32) % 33 + 32 * ((key >> 32) // 33))
                     side = (own >> bit) & np.uint64(1)
                     if side.all() or not side.any():
                         continue
                 if len(own) == 2:
-                    if int(own[0] ^ own[1]).bit_count() <= BITS:
-                        a.append(own[1:]), b.append(own[:1])
+                    x, y = (own[1:], own[:1]) if int(own[0] ^ own[1]).bit_count() <= BITS else (own[:0], own[:0])
                 else:
                     x, y = _stars(own)
-                    a.append(x), b.append(y)
+                a.append(x)
+                b.append(y)
             if a:
-                yield out(True, np.concatenate(a), np.concatenate(b))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
         for batch in batches:
             keys = np.concatenate([rest_k, batch.column("key").to_numpy()])
             fps = np.concatenate([rest_f, batch.column("fp").to_numpy()])
-            if spilled is not None:  # a run too long for memory goes on
-                n = int(np.searchsorted(keys, spilled, "right"))
-                if n:
-                    yield out(False, *_again(fps[:n].view(np.uint64), spilled, level))
-                keys, fps = keys[n:], fps[n:]
-                if not len(keys):
-                    rest_k, rest_f = keys, fps
-                    continue
-                spilled = None
-            last = int(np.searchsorted(keys, keys[-1]))
+            last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             yield from done(keys[:last], fps[:last])
             rest_k, rest_f = keys[last:], fps[last:]
-            if level < 3 and len(rest_k) > cap:
-                spilled = int(rest_k[0])
-                yield out(False, *_again(rest_f.view(np.uint64), spilled, level))
-                rest_k, rest_f = rest_k[:0], rest_f[:0]
         if len(rest_k):
             yield from done(rest_k, rest_f)
 
-    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "edge boolean, a long, b long")
+    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
+
+
+def _large_halves(fps: DataFrame, cap: int) -> DataFrame:
+    """The keys of all halves that over ``cap`` fingerprints share; counts are summed before the shuffle."""
+    halves = fps.select(F.explode(F.array(F.expr("struct(0 as s, fp & 4294967295L as half)"), F.expr("struct(1 as s, shiftrightunsigned(fp, 32) as half)"))).alias("h")).select("h.*")
+    large = halves.groupBy("s", "half").agg(F.count("*").alias("n")).where(F.col("n") > cap)
+    place = large.select("s", "half", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("p"))
+    return place.select(F.expr("shiftleft(cast(s * 33 + p as long), 32) | (half & (case when p = 32 then -1L else ~shiftleft(1L, p) end))").alias("key")).distinct()
 
 
 def links(fps: DataFrame, cap: int = CAP) -> DataFrame:
-    """Edges (a, b) among the different fingerprints ``fp`` that connect all that differ in at most three bits."""
+    """Edges (a, b) among the different fingerprints ``fp`` that connect all that differ in at most three bits.
+
+    Keys of large buckets are known from counts before any bucket is formed:
+    their rows go to the next level where they lie, so no task gathers them.  What
+    is left of a bucket is at most twice ``cap``, or 2,048 at the last level.
+    """
     keyed, edges = _keyed(fps), None
+    large = _large_halves(fps, cap)
     for level in (1, 2, 3):
-        rows = written(_buckets(keyed, level, cap), f"links{level}")
-        found = rows.where("edge").select("a", "b")
+        deeper = None
+        if level < 3 and (n := large.count()):
+            large = written(large, "large", rows=n)
+            marked = keyed.join(large.withColumn("large", F.lit(True)), "key", "left")
+            deeper = written(_deepened(marked.where("large"), level), f"keys{level + 1}")
+            keyed = marked.where("large is null").select("key", "fp")
+        found = _buckets(keyed, level)
         edges = found if edges is None else edges.unionByName(found)
-        keyed = rows.where("not edge").select(F.col("a").alias("key"), F.col("b").alias("fp")).distinct()
-        if rows.where("not edge").isEmpty():
+        if deeper is None:
             break
+        keyed, large = deeper, deeper.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("key")
     return edges
 
 
@@ -189,9 +207,12 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     empty table gives no rows.
     """
     prints = written(fingerprints(docs, words), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp")))
+    size = prints.count()
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes", rows=16 * size)  # smaller files: each row becomes 66 keys
+    edges = links(nodes.select("fp")).persist(StorageLevel.DISK_ONLY)  # read twice; what a lost executor held is worked out again
+    roots = components(edges)
+    edges.unpersist()
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = written(named.join(least, "root").select("fp", "component_id"), "groups")
+    groups = written(named.join(least, "root").select("fp", "component_id"), "groups", rows=size)
     return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
