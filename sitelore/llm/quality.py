@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, crc_fold, written
+from .common import WORD, crc_fold, hash_sample, written
 
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 _SPACES, _SYMBOLS = "\x20\x09\x0a\x0b\x0c\x0d", "#*$%&|<>"
@@ -160,11 +160,11 @@ def base_failed() -> Column:
 
 
 def labelled_sample(measured: DataFrame, labels: DataFrame, most: int) -> pd.DataFrame:
-    """At most ``most`` labelled rows outside fold 0, those of least id hash; a document's labels are averaged."""
+    """About ``most`` labelled rows outside fold 0, chosen by id hash; a document's labels are averaged."""
     own = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality")).where(crc_fold(F.col("doc_id")) != 0)
-    own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    own = hash_sample(own, "doc_id", most)
     features = [F.expr(e).alias(n) for n, e in FEATURES.items()]
-    return measured.where(~base_failed()).join(F.broadcast(own), "doc_id").select("quality", *features).toPandas()  # broadcast: ``most`` rows at most
+    return measured.where(~base_failed()).join(F.broadcast(own), "doc_id").select("quality", *features).toPandas()  # broadcast: about ``most`` rows
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000) -> tuple[DataFrame, list[Rule]]:

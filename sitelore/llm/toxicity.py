@@ -19,14 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted
-from .common import crc_fold, written
+from .common import crc_fold, hash_sample, written
 from .levenshtein import LexiconAutomaton, Term
 
-TRAIN_ROWS, MOST_TERMS, WINDOW = 12_000, 300, 6
+TRAIN_ROWS, MOST_TERMS, WINDOW = 16_000, 120, 6
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‘’…–—¡¿"
 _QUOTES = "\"“”„«»"
 _REPORTING = frozenset("said says quoted quote wrote called calls word term phrase means sagte schrieb wort dit écrit mot dijo escribió palabra".split())
@@ -108,14 +109,14 @@ def document_features(texts: pa.Array, memo: _Memo, weights: np.ndarray) -> np.n
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(text, toxic) of at most ``most`` labelled documents outside fold 0, those of least id hash."""
+    """(text, toxic) of about ``most`` labelled documents outside fold 0, chosen by id hash."""
     own = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("toxic").alias("toxic")).where(crc_fold(F.col("doc_id")) != 0)
-    own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", F.col("toxic") >= 0.5)  # broadcast: ``most`` rows at most
+    own = hash_sample(own, "doc_id", most)
+    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", F.col("toxic") >= 0.5)  # broadcast: about ``most`` rows
 
 
 def learn_lexicon(rows: DataFrame, *, most: int = MOST_TERMS) -> TextTerms:
-    """Terms with their log-odds by the likelihood ratio of the label: whole words, and stems of three to eight letters, these also by the documents that hold them twice."""
+    """Terms with their log-odds by the likelihood ratio of the label: whole words, and stems of three to eight letters, these also by the documents that hold them twice.  Copies of a text count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -133,7 +134,7 @@ def learn_lexicon(rows: DataFrame, *, most: int = MOST_TERMS) -> TextTerms:
         terms = ["", *(counts[0].keys() | counts[1].keys())]
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([sizes[1], *(counts[1][t] for t in terms[1:])], pa.int64()), pa.array([sizes[0], *(counts[0][t] for t in terms[1:])], pa.int64())], names=["term", "p", "n"])
 
-    counted = written(rows.mapInArrow(run, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where("p >= 5 or term = ''"), "terms")
+    counted = written(rows.dropDuplicates(["text"]).mapInArrow(run, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where("p >= 5 or term = ''"), "terms", rows=2_000_000)
     all_p, all_n = next(((r["p"], r["n"]) for r in counted.where("term = ''").collect()), (0, 0))
     if not all_p or not all_n:
         return []
@@ -153,7 +154,7 @@ def learn_lexicon(rows: DataFrame, *, most: int = MOST_TERMS) -> TextTerms:
             text = next(text[:k] for k in range(3, len(text) + 1) if best.get(text[:k], 0.0) >= 0.8 * row["ratio"])
         if any(text.startswith(t.text) or t.text.startswith(text) for t, _ in taken) or len(text) < 3:
             continue
-        errors = 0 if not whole or len(text) < 5 else 1 if len(text) < 9 else 2
+        errors = 0 if not whole or len(text) < 5 else 1 if len(text) < 10 else 2
         taken.append((Term(text, errors, stem=not whole), float(row["odds"])))
         if len(taken) == most:
             break
@@ -170,8 +171,8 @@ class ToxicityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Learn from at most ``train_rows`` labelled documents; without labels of both kinds every score is their share, at most 0.49."""
-    rows = written(sample(docs, labels, train_rows).toDF("text", "toxic"), "toxic-sample")
+    """Learn from about ``train_rows`` labelled documents; without labels of both kinds every score is their share, at most 0.49."""
+    rows = sample(docs, labels, train_rows).toDF("text", "toxic").persist(StorageLevel.DISK_ONLY)  # read twice; what a lost executor held is worked out again
     terms = learn_lexicon(rows)
     memo_terms, weights = [t for t, _ in terms], np.array([w for _, w in terms] or [0.0])
 
@@ -182,6 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) -
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column("toxic")], names=[*FEATURES, "toxic"])
 
     got = rows.mapInArrow(run, ", ".join(f"{f} double" for f in FEATURES) + ", toxic boolean").toPandas()
+    rows.unpersist()
     got = got.sort_values(list(got.columns), kind="stable")  # the same order on every run
     x, y = got[list(FEATURES)].to_numpy(np.float64), got["toxic"].to_numpy(np.float64)
     if not len(y) or y.min() == y.max():

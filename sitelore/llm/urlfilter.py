@@ -36,7 +36,8 @@ def temporal_filter(captures: DataFrame, entries: DataFrame, *, bucket: int = 86
     to exclusive, null: no end; a pattern covers its host and all hosts below.
     Entries may overlap or repeat.  Entries with a null name, pattern or start are
     void.  A capture with a null url or time is on no list; repeated captures each
-    keep their row, with their own columns; empty tables are allowed.
+    keep their row, with their own columns but those named ``host``, ``lists`` and
+    ``blocked``, which are replaced; empty tables are allowed.
     """
     base = captures.withColumn("host", host_of(F.col("url")))
     pairs = base.where("host <> '' and fetched_at is not null").select("host", F.col("fetched_at").alias("t")).distinct()
@@ -63,6 +64,6 @@ def temporal_filter(captures: DataFrame, entries: DataFrame, *, bucket: int = 86
     begun = Window.partitionBy("list_name", "pattern", "bucket").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     active = rows.withColumn("latest", F.max("until").over(begun)).where("host is not null and latest > t")
     found = active.groupBy("host", "t").agg(F.array_join(F.sort_array(F.collect_set("list_name")), ",").alias("lists"))
-    found = found.select(F.col("host").alias("_host"), F.col("t").alias("_t"), "lists")
+    found = found.select(F.col("host").alias("_host"), F.col("t").alias("_t"), F.col("lists").alias("_lists"))
     out = base.join(found, (F.col("host") == F.col("_host")) & (F.col("fetched_at") == F.col("_t")), "left").drop("_host", "_t")
-    return out.withColumn("blocked", F.col("lists").isNotNull()).withColumn("lists", F.coalesce("lists", F.lit("")))
+    return out.withColumns({"blocked": F.col("_lists").isNotNull(), "lists": F.coalesce("_lists", F.lit(""))}).drop("_lists")

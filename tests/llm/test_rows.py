@@ -57,7 +57,7 @@ def test_url_filter_brute_force(spark):
     hosts = ["a.com", "b.a.com", "c.b.a.com", "aa.com", "x.org", "", "com"]
     captures = [(i, None if h == "" else f"https://u@{h.upper()}:8080/p", None if rng.random() < 0.02 else rng.randrange(0, 400_000)) for i in range(400) for h in [rng.choice(hosts)]] + [(0, "https://a.com/", 5), (0, "https://a.com/", 5)]
     entries = [(rng.choice(["l1", "l2", None]), rng.choice(["a.com", "b.a.com", "x.org", "COM", None]), a, rng.choice([None, a, a + rng.randrange(1, 200_000)])) for a in [rng.randrange(0, 400_000) for _ in range(40)]]
-    frame = spark.createDataFrame(captures, "id long, url string, fetched_at long").withColumn("t", F.lit("extra")).withColumn("lists_", F.lit(1))
+    frame = spark.createDataFrame(captures, "id long, url string, fetched_at long").withColumn("t", F.lit("extra")).withColumn("lists", F.lit(1)).withColumn("host", F.lit("x"))
     got = urlfilter.temporal_filter(frame, spark.createDataFrame(entries, "list_name string, pattern string, valid_from long, valid_to long"), bucket=50_000).collect()
 
     def brute(url, t):
