@@ -78,24 +78,37 @@ def parse(rows: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def _blocks_root(rules: Column) -> Column:
-    return F.exists(rules, lambda d: d.isin("/", ""))
+def shared_rules(groups: Column) -> Column:
+    """The conventional reading of agents in a row: one without rules of its own has those of the next that has some."""
+    start = F.struct(F.array().cast(f"array<{GROUP}>").alias("out"), F.lit(None).cast(GROUP).alias("next"))
 
+    def step(acc: Column, g: Column) -> Column:
+        bare = (F.size(g["allow"]) == 0) & (F.size(g["disallow"]) == 0) & g["crawlDelay"].isNull() & acc["next"].isNotNull()
+        after = acc["next"]
+        own = F.when(bare, F.struct(g["userAgent"].alias("userAgent"), after["allow"].alias("allow"), after["disallow"].alias("disallow"), after["crawlDelay"].alias("crawlDelay"))).otherwise(g).cast(GROUP)
+        return F.struct(F.array_append(acc["out"], own).alias("out"), own.alias("next"))
 
-def flags(groups: Column) -> tuple[Column, Column]:
-    """(global block, global allow) of the first group named ``*``; an empty ``Disallow`` sets both."""
+    return F.reverse(F.aggregate(F.reverse(groups), start, step, lambda a: a["out"]))
+
+
+def _blocks_root(rules: Column, strict: bool = False) -> Column:
+    return F.exists(rules, lambda d: d == "/" if strict else d.isin("/", ""))
+
+
+def flags(groups: Column, strict: bool = False) -> tuple[Column, Column]:
+    """(global block, global allow) of the first group named ``*``; an empty ``Disallow`` sets both, unless ``strict``."""
     star = F.get(F.filter(groups, lambda g: g["userAgent"] == "*"), F.lit(0))
-    block = F.coalesce(_blocks_root(star["disallow"]), F.lit(False))
+    block = F.coalesce(_blocks_root(star["disallow"], strict), F.lit(False))
     return block, F.coalesce(F.forall(star["disallow"], lambda d: d == ""), F.lit(True))
 
 
-def policies(groups: Column, global_block: Column) -> Column:
+def policies(groups: Column, global_block: Column, strict: bool = False) -> Column:
     """The rules of the known crawlers, in order: the first group of their name, any case, else the global block."""
     no_rules = F.array().cast("array<string>")
 
     def policy(bot: Column) -> Column:
         own = F.get(F.filter(groups, lambda g: F.lower(g["userAgent"]) == F.lower(bot)), F.lit(0))
-        root = _blocks_root(own["disallow"])
+        root = _blocks_root(own["disallow"], strict)
         return F.struct(
             bot.alias("bot"),
             F.when(own.isNull(), global_block).otherwise(root & (F.size(own["allow"]) == 0)).alias("blocked"),
@@ -116,14 +129,21 @@ def tier(there: Column, global_block: Column, blocked: Column, partial: Column)
     return name, ~name.isin("BLOCKED_ALL", "BLOCKED_AI")
 
 
-def crawl_policy(observed: DataFrame) -> DataFrame:
-    """``observed(domain, status, body)``: parse, flags, policies, counts and tier; null parts where there is no robots.txt."""
+def crawl_policy(observed: DataFrame, strict: bool = False) -> DataFrame:
+    """``observed(domain, status, body)``: parse, flags, policies, counts and tier; null parts where there is no robots.txt.
+
+    The default has each user-agent line open a group of its own and an empty
+    ``Disallow`` block; ``strict`` reads both as is conventional: agents in a row
+    share rules, and an empty ``Disallow`` allows all.
+    """
     there = exists(F.col("status"))
     body, more = truncated_body(F.when(there, F.col("body")))
     rows = parse(observed.withColumns({"exists": there, "truncated": F.coalesce(more, F.lit(False)), "body": body}))
-    block, allow = flags(F.col("groups"))
+    if strict:
+        rows = rows.withColumn("groups", shared_rules(F.col("groups")))
+    block, allow = flags(F.col("groups"), strict)
     rows = rows.withColumns({"global_block": block, "global_allow": allow})
-    rows = rows.withColumn("policies", policies(F.col("groups"), F.col("global_block")))
+    rows = rows.withColumn("policies", policies(F.col("groups"), F.col("global_block"), strict))
     count = lambda name: F.size(F.filter("policies", lambda p: p[name])).cast("long")
     rows = rows.withColumns({"blocked": count("blocked"), "partial": count("partial")})
     name, friendly = tier(F.col("exists"), F.col("global_block"), F.col("blocked"), F.col("partial"))

@@ -167,6 +167,13 @@ def test_empty_disallow_sets_both_flags(spark):
     assert got["global_block"] and got["global_allow"] and got["tier"] == "BLOCKED_ALL"
 
 
+def test_strict_robots(spark):
+    rows = spark.createDataFrame([("a", 200, "User-agent: GPTBot\nUser-agent: CCBot\nDisallow: /"), ("b", 200, "User-agent: *\nDisallow:")], "domain string, status int, body string")
+    got = {r["domain"]: r for r in robots.crawl_policy(rows, strict=True).collect()}
+    assert [p["bot"] for p in got["a"]["policies"] if p["blocked"]] == ["GPTBot", "CCBot"]
+    assert (got["b"]["global_block"], got["b"]["global_allow"], got["b"]["tier"]) == (False, True, "OPEN")
+
+
 def test_allow_overrides_a_root_block(spark):
     got = _robots(spark, "User-agent: GPTBot\nDisallow: /\nAllow: /x")
     policy = next(p for p in got["policies"] if p["bot"] == "GPTBot")
