@@ -59,7 +59,7 @@ def _words(texts: pa.Array) -> pa.ListArray:
 
 def document_features(texts: pa.Array, memo: _Memo, weights: np.ndarray) -> np.ndarray:
     """``FEATURES`` of each text."""
-    if len(memo) > 600_000:
+    if len(memo) > 300_000:
         memo.clear()
     cut = _words(texts)
     words = cut.flatten().dictionary_encode()
