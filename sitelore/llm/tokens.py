@@ -36,13 +36,21 @@ class _Index(dict):
         return number
 
 
+def _ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places of all ranges (start, length), one after another."""
+    ends = np.cumsum(lens)
+    return np.repeat(starts - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class PieceEncoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does, special strings as ordinary text.
 
-    ``max_pieces`` bounds the cache (it is emptied when full), not the input.
+    ``max_pieces`` bounds the cache, not the input.  When it is full, pieces that
+    only one batch has held since the last time go: most words of a corpus are
+    met once, and the rest are worth their place.
     """
 
-    def __init__(self, path: str, max_pieces: int = 600_000) -> None:
+    def __init__(self, path: str, max_pieces: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,15 +60,28 @@ class PieceEncoder:
         self.mark, self.separator = ("7", " 7 ") if self.drops_space else ("\n", "\n")
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.max_pieces = max_pieces
-        self._reset()
-
-    def _reset(self) -> None:
         self.index = _Index()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 15, np.int64)
         self.lens = np.zeros(1 << 15, np.int64)
+        self.seen = np.zeros(1 << 15, np.uint8)
         self.used = 0
 
+    def _prune(self) -> None:
+        """Keep the pieces that most batches held, at most half the cache."""
+        names, n, least = list(self.index), len(self.index), 2
+        while (self.seen[:n] >= least).sum() > self.max_pieces // 2 and least < 255:
+            least += 1
+        keep = np.flatnonzero(self.seen[:n] >= least)[: self.max_pieces // 2]
+        lens = self.lens[keep]
+        flat = self.flat[_ragged(self.starts[keep], lens)]
+        self.index = _Index()
+        self.index.update(zip([names[i] for i in keep.tolist()], range(len(keep)), strict=True))
+        room = max(1 << 15, len(keep))
+        self.flat, self.used = np.concatenate([flat, np.zeros(1 << 16, np.uint32)]), len(flat)
+        self.lens, self.starts, self.seen = np.zeros(room, np.int64), np.zeros(room, np.int64), np.zeros(room, np.uint8)
+        self.lens[: len(keep)], self.starts[: len(keep)], self.seen[: len(keep)] = lens, np.cumsum(lens) - lens, 1
+
     def _one(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -108,7 +129,7 @@ class PieceEncoder:
             self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat) // 2), np.uint32)])
         if count > len(self.lens):
             more = np.zeros(max(count, len(self.lens) // 2), np.int64)
-            self.starts, self.lens = np.concatenate([self.starts, more]), np.concatenate([self.lens, more])
+            self.starts, self.lens, self.seen = np.concatenate([self.starts, more]), np.concatenate([self.lens, more]), np.concatenate([self.seen, more.astype(np.uint8)])
         self.flat[self.used : need] = got
         self.lens[first:count] = lens
         self.starts[first:count] = self.used + np.cumsum(lens) - lens
@@ -117,7 +138,7 @@ class PieceEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: empty) one after another, and the number of ids of each text."""
         if len(self.index) > self.max_pieces:
-            self._reset()
+            self._prune()
         texts = pc.fill_null(texts, "")
         hard = pc.match_substring_regex(texts, _ODD if self.drops_space else f"{_ODD}|{_RUNS}")
         cut = self._cut(pc.if_else(hard, "", texts))
@@ -125,10 +146,11 @@ class PieceEncoder:
         codes = np.fromiter(map(self.index.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
         if self.index.new:
             self._learn()
+        self.seen[codes] = np.minimum(self.seen[codes], 254) + 1
         codes = codes[words.indices.to_numpy()]
         lens = self.lens[codes]
         ends = np.cumsum(lens)
-        ids = self.flat[np.repeat(self.starts[codes] - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ids = self.flat[_ragged(self.starts[codes], lens)]
         edge = np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
         sizes = np.diff(edge)
         whole = {i: self._one(texts[i].as_py()) for i in np.flatnonzero(hard.to_numpy(zero_copy_only=False)).tolist()}
@@ -144,7 +166,7 @@ def encoder_for(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def slices(texts: pa.Array, most: int = 6_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``most`` bytes, one text at least, to bound the arrays of a step."""
     at, total = 0, 0
     for i, n in enumerate(pc.binary_length(texts).to_pylist()):
