@@ -150,7 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, capacity: int = 40
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, packer = encoder_for(tokenizer), Packer(capacity, windows)
+        encoder, packer = encoder_for(tokenizer, max_pieces=400_000), Packer(capacity, windows)
         base, serial, sequences = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33, 0, 0
         held: dict[int, tuple[int | None, np.ndarray]] = {}
 

@@ -161,9 +161,9 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder_for(path: str) -> PieceEncoder:
+def encoder_for(path: str, max_pieces: int = 800_000) -> PieceEncoder:
     """The encoder of this Python worker; its cache serves all tasks that the worker runs."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, max_pieces)
 
 
 def slices(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
