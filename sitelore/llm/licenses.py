@@ -64,8 +64,44 @@ SPELLINGS = (
     ("authoris", "authoriz"), ("recognis", "recogniz"), ("acknowledgement", "acknowledgment"), ("copyright owner", "copyright holder"), ("per cent", "percent"), ("favour", "favor"), ("https ", "http "),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words that follow "copyright", or "(c)" as the mark of a list's item, in prose; any other word there names a holder.
+_PROSE = """act acts and agreement are as assignment assignments at claim claims disclaimer disclaimers for from grant grants holder holders in infringement infringements interest interests is
+law laws legend legends license licensed licenses may must nor notice notices of office on or owner owners ownership permission permissions protection protections registration restrictions right
+rights shall statement statements status subsists term terms that this to treaties treaty under which will with work works""".split()
+_ITEMS = """a accompany all an any apply cause causes changes contributor contributors convey copies copy copying copyright derivative distribute distributing distribution do each either every give if include includes
+it its make makes modifications modified modify neither no not only other our permit provide publish recipient recipients redistribute redistribution redistributions retain software source sublicense such the their
+there these they those use uses using we when where without you your""".split()
+
+
+def _other_word(words: list[str]) -> str:
+    """A pattern for the start of a word that is none of ``words``; without look-ahead, which not every engine has."""
+    trie: dict = {}
+    for word in words:
+        node = trie
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def rest(node: dict, root: bool) -> str:
+        letters = [c for c in node if c]
+        ways = [c + rest(node[c], False) for c in letters]
+        ways.append("[^\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f" + "".join(letters) + "]")
+        if not root and "" not in node:
+            ways.append(r"\b")
+        return "(?:" + "|".join(ways) + ")"
+
+    return rest(trie, True)
+
+
+_STATED = r"[ \t:,-]*(?:\(c\)|©|[0-9]{4}|[<\[{])"
 #: A line that only states a copyright: its first word, after comment signs, says so and a year, a sign or a holder follows.
-COPYRIGHT_LINE = r"(^|\n)[ \t#*/;%-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+COPYRIGHT_LINE = (
+    r"(^|\n)[ \t#*/;%-]*(?:"
+    rf"(?:\(c\)[ \t]*)?copyright(?:{_STATED}|[ \t]*:?[ \t]+{_other_word(_PROSE)})[^\n]*"
+    rf"|\(c\)(?:{_STATED}|[ \t]*{_other_word(_PROSE + _ITEMS)})[^\n]*"
+    r"|©[^\n]*"
+    r"|all rights reserved(?:[ \t]+by[ \t][^\n]*|[^a-z0-9\n]*(?:copyright|\(c\)|©|[0-9]{4})[^\n]*|[^a-z0-9\n]*))"
+)
 #: ASCII signs and white space, typographic quotes and dashes.
 SIGNS = "[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f‘’“”–— ]+"
 

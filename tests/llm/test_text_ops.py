@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -100,6 +102,40 @@ def test_canonical_forms_agree(spark, texts):
     assert {r["i"]: r["c"] for r in rows} == {i: licenses.canonical_text(t) for i, t in enumerate(texts)}
 
 
+def _wrapped(text: str, width: int, mark: str = "") -> str:
+    return "\n".join(mark + line for block in text.split("\n") for line in (textwrap.wrap(block, width, break_long_words=False, break_on_hyphens=False) or [""]))
+
+
+def test_licences_at_any_width(spark):
+    cases = [(name, _wrapped(text, width, mark)) for name, text in licenses.LICENCES.items() for width in range(32, 101) for mark in ("", " * ")]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
+    lines = {line.split()[0].lower() for _, t in cases for line in t.split("\n") if line.strip(" *")}
+    assert "copyright" in lines
+
+
+def test_lines_of_copyright(spark):
+    stated = ["Copyright 2024 A", "Copyright (c) 2001-2004, A", "COPYRIGHT © A", "(c) 2020 A", "(C) Copyright A", "© A", "Copyright by A", "Copyright The A Authors", "Copyright Hol Inc.", "Copyright Émile", "Copyright <year> <holder>", "(c) Acme Inc.", "All rights reserved.", "# Copyright: 2020 A"]
+    prose = ["copyright notice and this", "Copyright holders and contributors", "COPYRIGHT OWNER OR", "copyright law.", "copyright, patent and trademark", "copyright", "copyrighted by A", "copyrights", "(c) You must retain", "(c) the notice"]
+    mit = licenses.LICENCES["MIT (no title)"]
+    rows = [(i, line + "\n" + mit) for i, line in enumerate(stated + prose)]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == ["MIT (no title)"] * len(stated) + [None] * len(prose)
+
+
+def test_lines_of_copyright_agree_in_sql(spark):
+    words = ["copyright", "(c)", "©", "all rights reserved", "holder", "holders", "hol", "notice", "é", "the", "2024", "by", "you", ":", "#", ".", "\n", "\n"]
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "", "\n"]) for _ in range(12)) for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", licenses.canonical(F.col("text")).alias("c")).collect()
+    assert {r["i"]: r["c"] for r in rows} == {i: licenses.canonical_text(t) for i, t in enumerate(texts)}
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    digests = dict(con.execute(licenses.oracle()).df()[["doc_id", "digest"]].itertuples(index=False))
+    assert digests == {i: hashlib.sha256(licenses.canonical_text(t).encode()).hexdigest() for i, t in enumerate(texts)}
+
+
 def test_licence_edges(edges, nothing):
     assert licenses.scan(edges).count() == len(EDGES) and licenses.scan(nothing).count() == 0
 
