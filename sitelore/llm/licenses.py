@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +59,36 @@ For more information, please refer to <https://unlicense.org>""",
     "CC-BY-NC-4.0 (short notice)": "Licensed under CC BY-NC 4.0.",
 }
 
+#: Title lines in use; each makes another known text.
+TITLES = {
+    "MIT (no title)": ("The MIT License", "The MIT License (MIT)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "BSD License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero Clause BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+#: Long texts as published, and the heading from which many copies leave the rest out.
+LONG = {
+    "Apache-2.0": "   APPENDIX: How to apply", "CC0-1.0": None, "GPL-2.0": "            How to Apply These Terms", "GPL-3.0": "            How to Apply These Terms", "LGPL-2.1": "           How to Apply These Terms", "LGPL-3.0": None,
+    "MPL-1.1": "EXHIBIT A -", "MPL-2.0": "Exhibit A - Source Code",
+}
+
+
+def known_licences() -> dict[str, str]:
+    """``LICENCES``, with each title, and the long texts with and without what follows their terms."""
+    found = dict(LICENCES)
+    for name, titles in TITLES.items():
+        found |= {f"{name.removesuffix(' (no title)')} (title: {title})": f"{title}\n\n{LICENCES[name]}" for title in titles}
+    for name, end in LONG.items():
+        text = (Path(__file__).parent / "texts" / name).read_text(encoding="utf-8")
+        found[name] = text
+        if end is not None:
+            found[f"{name} (terms only)"] = text[: text.index(end)]
+    return found
+
+
 #: Spellings taken as equal, after signs have gone (a pattern, its canonical form).
 SPELLINGS = (
     ("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("non commercial", "noncommercial"), ("organisation", "organization"),
@@ -65,12 +96,13 @@ SPELLINGS = (
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words that follow "copyright", or "(c)" as the mark of a list's item, in prose; any other word there names a holder.
-_PROSE = """act acts and agreement are as assignment assignments at claim claims disclaimer disclaimers for from grant grants holder holders in infringement infringements interest interests is
+_PROSE = """act acts and agreement are as assignment assignments at claim claims disclaimer disclaimers doctrine doctrines for from grant grants holder holders if in infringement infringements interest interests is
 law laws legend legends license licensed licenses may must nor notice notices of office on or owner owners ownership permission permissions protection protections registration restrictions right
-rights shall statement statements status subsists term terms that this to treaties treaty under which will with work works""".split()
+rights shall statement statements status subsists term terms that the this to treaties treaty under which will with work works""".split()
 _ITEMS = """a accompany all an any apply cause causes changes contributor contributors convey copies copy copying copyright derivative distribute distributing distribution do each either every give if include includes
-it its make makes modifications modified modify neither no not only other our permit provide publish recipient recipients redistribute redistribution redistributions retain software source sublicense such the their
+it its make makes modifications modified modify neither no not only other our permit provide publish recipient recipients redistribute redistribution redistributions representations retain software source sublicense such their
 there these they those use uses using we when where without you your""".split()
+_THINGS = "library program software work works".split()
 
 
 def _other_word(words: list[str]) -> str:
@@ -97,7 +129,7 @@ _STATED = r"[ \t:,-]*(?:\(c\)|©|[0-9]{4}|[<\[{])"
 #: A line that only states a copyright: its first word, after comment signs, says so and a year, a sign or a holder follows.
 COPYRIGHT_LINE = (
     r"(^|\n)[ \t#*/;%-]*(?:"
-    rf"(?:\(c\)[ \t]*)?copyright(?:{_STATED}|[ \t]*:?[ \t]+{_other_word(_PROSE)})[^\n]*"
+    rf"(?:\(c\)[ \t]*)?copyright(?:{_STATED}|[ \t]*:?[ \t]+(?:{_other_word(_PROSE)}|the[ \t]+{_other_word(_THINGS)}))[^\n]*"
     rf"|\(c\)(?:{_STATED}|[ \t]*{_other_word(_PROSE + _ITEMS)})[^\n]*"
     r"|©[^\n]*"
     r"|all rights reserved(?:[ \t]+by[ \t][^\n]*|[^a-z0-9\n]*(?:copyright|\(c\)|©|[0-9]{4})[^\n]*|[^a-z0-9\n]*))"
@@ -125,15 +157,15 @@ def canonical_text(text: str) -> str:
     return out
 
 
-def digest_table(licences: dict[str, str] = LICENCES) -> list[tuple[str, str]]:
-    """(digest, licence), the first licence of a digest."""
+def digest_table(licences: dict[str, str] | None = None) -> list[tuple[str, str]]:
+    """(digest, licence), the first licence of a digest; of ``known_licences()`` unless others are given."""
     found: dict[str, str] = {}
-    for name, text in licences.items():
+    for name, text in (known_licences() if licences is None else licences).items():
         found.setdefault(hashlib.sha256(canonical_text(text).encode()).hexdigest(), name)
     return sorted(found.items())
 
 
-def scan(docs: DataFrame, licences: dict[str, str] = LICENCES) -> DataFrame:
+def scan(docs: DataFrame, licences: dict[str, str] | None = None) -> DataFrame:
     """doc_id, canonical_chars, digest, license of every document; the license is null where the entire text isn't a known one.
 
     A null text is an empty one and matches nothing; repeated rows each get a row;

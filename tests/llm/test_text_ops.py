@@ -136,6 +136,21 @@ def test_lines_of_copyright_agree_in_sql(spark):
     assert digests == {i: hashlib.sha256(licenses.canonical_text(t).encode()).hexdigest() for i, t in enumerate(texts)}
 
 
+def test_titled_and_long_licences(spark):
+    cases = {name: text for name, text in licenses.known_licences().items() if name not in licenses.LICENCES}
+    assert {"Apache-2.0", "Apache-2.0 (terms only)", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= cases.keys()
+    bodies = {f"{title} {k}": f"{title}\n\nCopyright (c) 2019, A B\nAll rights reserved.\n\n{licenses.LICENCES[k]}" for k, title in (("BSD-3-Clause", "BSD 3-Clause License"), ("ISC", "ISC License"))}
+
+    def anew(text: str, width: int) -> str:
+        blocks = re.split(r"\n[ \t\f]*\n", text)
+        return "\n\n".join(b if re.search(r"copyright (\(c\)|\[yyyy)", b.lower()) else _wrapped(" ".join(b.split()), width) for b in blocks)
+
+    rows = [(n, t) for n, t in cases.items()] + [(n, anew(t, w)) for n, t in cases.items() for w in (45, 60, 72, 80, 99)] + list(bodies.items())
+    want = [n for n, _ in rows[: -len(bodies)]] + ["BSD-3-Clause (title: BSD 3-Clause License)", "ISC (title: ISC License)"]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert [(i, got[i]) for i in range(len(rows)) if got[i] != want[i]] == []
+
+
 def test_licence_edges(edges, nothing):
     assert licenses.scan(edges).count() == len(EDGES) and licenses.scan(nothing).count() == 0
 
