@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 from collections import Counter
 
 import duckdb
@@ -63,6 +64,24 @@ def test_added_spans(model):
     assert found("see order no. 1234-5678-9012-3456 and version 1.2.3") == []
 
 
+def test_secrets_of_any_length(model):
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for size in (24, 40, 128, 129, 172, 600, 5000):
+        for alphabet in ("0123456789abcdef", letters + "0123456789"):
+            token = "".join(rng.choice(alphabet) for _ in range(size - 1)) + "7"
+            text = f'we met there before, token = "{token}" and so on'
+            assert ("secret", text.index(token), text.index(token) + size) in pii.candidates(text)
+            assert pii.redact(text, pii.find(text, model)) == 'we met there before, token = "[SECRET]" and so on'
+    late = "".join(rng.choice(letters) for _ in range(30)) + "4711"
+    assert "[SECRET]" in pii.redact(f"api_key: {late} and so on", pii.find(f"api_key: {late} and so on", model))
+    slug = "the-annual-report-of-the-open-data-table-2024"
+    assert pii.find(f"see page {slug} and so on", model) == []
+    start = time.perf_counter()
+    pii.candidates("-a" * 500_000 + "7==x")
+    assert time.perf_counter() - start < 5
+
+
 def test_redaction_merges_overlaps():
     assert pii.redact("a 1234 b", [("card", 2, 5, True, 1.0), ("phone", 4, 6, True, 1.0)]) == "a [CARD] b"
 
