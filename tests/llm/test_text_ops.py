@@ -82,6 +82,16 @@ def test_secrets_of_any_length(model):
     assert time.perf_counter() - start < 5
 
 
+def test_short_ipv6(model):
+    proposed = lambda t: {t[a:b] for k, a, b in pii.candidates(t) if k == "ip"}
+    for address in ("2001:db8::1", "fe80::1ff:fe23:4567:890a", "::1", "2001:db8:0:1::", "1::8", "2001:db8::a:b:c:d:e"):
+        assert proposed(f"server {address}.") == proposed(f"[{address}]:80") == {address}
+        assert pii.redact(f"login from {address} and", pii.find(f"login from {address} and", model)) == "login from [IP] and"
+    for other in ("std::add", "a::b::c", "::", "1:2:3:4:5:6:7::8:9", "12345::1", "::ffff:192.0.2.1", "face::add()x::y"):
+        assert not any(":" in a and a != "face::add" for a in proposed(other))
+    assert pii.find("the call of face::add and dead::beef is", model) == []
+
+
 def test_redaction_merges_overlaps():
     assert pii.redact("a 1234 b", [("card", 2, 5, True, 1.0), ("phone", 4, 6, True, 1.0)]) == "a [CARD] b"
 
