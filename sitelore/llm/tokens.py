@@ -36,6 +36,11 @@ class _Index(dict):
         return number
 
 
+def _quoted(text: str) -> str:
+    """A literal text as a pattern of RE2."""
+    return "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in text)
+
+
 def _ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The places of all ranges (start, length), one after another."""
     ends = np.cumsum(lens)
@@ -43,9 +48,10 @@ def _ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does, special strings as ordinary text.
+    """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
-    ``max_pieces`` bounds the cache, not the input.  When it is full, pieces that
+    A text that may hold one of the tokenizer's added tokens, in any case of its
+    letters, is encoded whole by the library, which gives it its own id.  ``max_pieces`` bounds the cache, not the input.  When it is full, pieces that
     only one batch has held since the last time go: most words of a corpus are
     met once, and the rest are worth their place.
     """
@@ -55,8 +61,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.drops_space = self.tokenizer.encode(" ", add_special_tokens=False).ids == []
+        self.hard = "|".join([_ODD, *([] if self.drops_space else [_RUNS]), *(f"(?i:{_quoted(t)})" for t in added)])
         self.mark, self.separator = ("7", " 7 ") if self.drops_space else ("\n", "\n")
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.max_pieces = max_pieces
@@ -140,7 +147,7 @@ class PieceEncoder:
         if len(self.index) > self.max_pieces:
             self._prune()
         texts = pc.fill_null(texts, "")
-        hard = pc.match_substring_regex(texts, _ODD if self.drops_space else f"{_ODD}|{_RUNS}")
+        hard = pc.match_substring_regex(texts, self.hard)
         cut = self._cut(pc.if_else(hard, "", texts))
         words = cut.flatten().dictionary_encode()
         codes = np.fromiter(map(self.index.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))

@@ -25,13 +25,12 @@ FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 
 def plain(name):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 ENCODERS = {n: PieceEncoder(P.path(n), max_pieces=500) for n in FILES}
 PLAIN = {n: plain(n) for n in FILES}
-pieces = st.sampled_from(["a", "The", " ", "  ", "\n", "\n\n", "\t", ".", ",", "..", "7", "77", "'s", "don't", "é", "́", "日", "🤦🏼", "<|endoftext|>", "\x00", "\x1c", " ", "​", "İ", "ΣΑΣ", "_", "-", "word."])
+pieces = st.sampled_from(["a", "The", " ", "  ", "\n", "\n\n", "\t", ".", ",", "..", "7", "77", "'s", "don't", "é", "́", "日", "🤦🏼", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "endoftext", "\x00", "\x1c", " ", "​", "İ", "ΣΑΣ", "_", "-", "word."])
 
 
 @pytest.mark.parametrize("name", FILES)
@@ -44,6 +43,12 @@ def test_pieces_are_the_whole_text(name, texts):
     assert ids.tolist() == [i for w in want for i in w]
 
 
+@pytest.mark.parametrize(("name", "ids"), [("word_bpe_49k.json", [320, 49407, 321]), ("byte_bpe_50k.json", [64, 220, 50256, 275])])
+def test_added_tokens_have_their_own_ids(name, ids):
+    got, sizes = ENCODERS[name].encode(pa.array(["a <|endoftext|> b", "plain"]))
+    assert got[: sizes[0]].tolist() == ids == PLAIN[name]("a <|endoftext|> b")
+
+
 def test_slices_cover_all():
     texts = pa.array(["a" * n for n in (0, 10, 500, 3, 900, 1)] + [None])
     got = list(slices(texts, 400))
