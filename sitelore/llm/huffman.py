@@ -127,9 +127,12 @@ def width_for(tokenizer: str) -> str:
 def tokenize_sorted(docs: DataFrame, tokenizer: str, *, end_id: int = 0) -> DataFrame:
     """``IDS`` rows in ascending ``doc_id`` order: range partitions, numbered in order, sorted within.
 
-    Text is shuffled, not ids: the range sampling then reads only the scan.
+    Text is shuffled, not ids: the range sampling then reads only the scan.  Rows
+    that share an id, nulls among them, are ordered by a hash of their text, so that
+    a range of one id splits as well.
     """
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    ordered = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     width = width_for(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +186,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 0)
     """Write ``path/codebook`` and ``path/blocks``.
 
     A null text is an empty one: its document holds the end id alone.  Rows with
-    equal ids follow each other by text, null ids come first; other columns are
+    equal ids follow each other by a hash of their text, null ids come first; other columns are
     ignored; an empty table gives an empty codebook and no blocks.
     """
     spark = docs.sparkSession
