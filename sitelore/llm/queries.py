@@ -60,13 +60,13 @@ _PROBE = "<|im_end|><|im_start|>assistant ok"
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = docs_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-1, 0, "user", _PROBE), (-1, 1, "assistant", _PROBE)], "conv_id long, turn long, role string, text string")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_PROBE).alias("text"))
     out = chatfmt.format_chats(turns.unionByName(probe))
-    read = out.select("conv_id", chatfmt.parse(F.col("formatted")).alias("turns"), chatfmt.loss_text(F.col("segments")).alias("loss"), "formatted", "valid", "state")
+    read = out.select("conv_id", chatfmt.parse(F.col("formatted")).alias("turns"), chatfmt.loss_text(F.col("segments")).alias("loss"), "formatted", "state", "valid", "misplaced")
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
-        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "state", "valid", "misplaced",
     )
 
 
@@ -107,10 +107,15 @@ SELECT h.page_id, host, fetched_at, coalesce(lists, '') AS lists, lists IS NOT N
     "op6_chat_format": f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '{_PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{_PROBE}')
+  UNION ALL SELECT -1, 0, 'user', '{_PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{_PROBE}'),
+placed AS (SELECT *, lag(role) OVER w AS before, row_number() OVER w = count(*) OVER (PARTITION BY conv_id) AS last FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+moved AS (SELECT *, concat(coalesce(CASE WHEN before IN ('system', 'user', 'assistant', 'tool') THEN before WHEN before IS NOT NULL THEN 'unknown' END, 'start'), '>', role)
+    IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user', 'assistant>tool', 'tool>tool', 'tool>assistant') AS allowed FROM placed)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum({len("<|im_start|>") + len("<|im_end|>") + 2} + length(replace({_ESCAPED.format("role")}, chr(10), '\\n')) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
-FROM turns GROUP BY conv_id""",
+  CAST(sum({len("<|im_start|>") + len("<|im_end|>") + 2} + length(replace({_ESCAPED.format("role")}, chr(10), '\\n')) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars,
+  max(CASE WHEN last THEN CASE WHEN role IN ('system', 'user', 'assistant', 'tool') THEN role ELSE 'unknown' END END) AS state,
+  bool_and(allowed) AND bool_or(last AND role = 'assistant') AS valid, CAST(count(*) FILTER (NOT allowed) AS BIGINT) AS misplaced
+FROM moved GROUP BY conv_id""",
 }

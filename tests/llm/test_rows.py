@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter
 
 import public_tokenizers as P
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sitelore.llm import chatfmt, decontam, neardup, pii, toxicity, urlfilter
+from sitelore.llm import chatfmt, decontam, neardup, pii, queries, toxicity, urlfilter
 
 from ..conftest import SMALL
 from .conftest import EDGES
@@ -33,10 +34,35 @@ def test_chat_round_trip(spark, turns):
     assert got["formatted"].count("<|im_start|>") == got["formatted"].count("<|im_end|>") == len(turns)
 
 
-@pytest.mark.parametrize(("roles", "state"), [(["user", "assistant"], "assistant"), (["system", "user"], "user"), (["assistant"], "invalid"), (["user", "user"], "invalid"), (["user", "assistant", "tool", "tool", "assistant"], "assistant"), (["user", "system"], "invalid")])
-def test_turn_order(spark, roles, state):
+ORDERS = [(["user", "assistant"], "assistant", 0), (["system", "user"], "user", 0), (["assistant"], "assistant", 1), (["user", "user"], "user", 1), (["user", "assistant", "tool", "tool", "assistant"], "assistant", 0), (["user", "system"], "system", 1), (["user", "narrator", "assistant"], "assistant", 2)]
+
+
+@pytest.mark.parametrize(("roles", "state", "misplaced"), ORDERS)
+def test_turn_order(spark, roles, state, misplaced):
     got = chatfmt.format_chats(spark.createDataFrame([(1, i, r, "x") for i, r in enumerate(roles)], TURNS)).first()
-    assert (got["state"], got["valid"]) == (state, state == "assistant")
+    assert (got["state"], got["misplaced"], got["valid"]) == (state, misplaced, misplaced == 0 and state == "assistant")
+
+
+def test_a_long_conversation(spark):
+    """More turns than a fold's chunk, in linear time."""
+    n = 100_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").when(F.col("id") == 777, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("text"))
+    began = time.monotonic()
+    got = chatfmt.format_chats(rows).select("n_turns", "state", "valid", "misplaced", F.size(F.filter("segments", lambda s: s["loss"])).alias("loss")).first()
+    assert tuple(got) == (n, "assistant", False, 2, n // 2 - 1)
+    assert time.monotonic() - began < 30
+
+
+def test_op6_comes_through_its_machine(spark, tmp_path):
+    frame = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c"), (2, 0, "user", "a"), (2, 1, "assistant", "b")], TURNS)
+    frame.write.parquet(f"{tmp_path}/conversations.parquet")
+    out = queries.op6_chat_format(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    machine = [line for line in plan.split("\n") if "aggregate(sequence(" in line]
+    assert len(machine) == 1 and all(f"{k}," in machine[0] or f"{k}]" in machine[0] for k in chatfmt.CHAT.table)
+    assert plan.count("run#") > 1 and "zip_with(rows" in plan  # the segments follow the machine's run
+    got = {r["conv_id"]: (r["state"], r["valid"], r["misplaced"], r["loss_chars"]) for r in out.collect()}
+    assert got == {1: ("assistant", False, 1, 1), 2: ("assistant", True, 0, 1), -1: ("assistant", True, 0, len("<|im_end|><|im_start|>assistant ok"))}
 
 
 def test_chat_edges(spark):
