@@ -125,15 +125,20 @@ def _other_word(words: list[str]) -> str:
     return rest(trie, True)
 
 
+#: A notice that many long texts begin with, from its copyright to its last word, however its lines are broken.
+VERBATIM_NOTICE = r"copyright[^a-z]{1,40}c[^a-z]{1,60}free[^a-z]{1,20}software[^a-z]{1,20}foundation[^\x00]{0,300}?" + r"[^a-z]{1,20}".join("everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document but changing it is not allowed".split(" "))
+#: A copyright still to be filled in, wherever it stands.
+PLACEHOLDER = r"copyright[^a-z0-9]{1,20}(?:c[^a-z0-9]{1,20})?(?:_{3}[^a-z]{0,99}(?:all[^a-z]{1,20}rights[^a-z]{1,20}reserved)?|[<\[{](?:yyyy|year)[>\]}][^a-z0-9]{1,30}name[^a-z]{1,20}of[^a-z]{1,20}(?:author|copyright[^a-z]{1,20}(?:owner|holder))[>\]}])"
 _STATED = r"[ \t:,-]*(?:\(c\)|©|[0-9]{4}|[<\[{])"
 #: A line that only states a copyright: its first word, after comment signs, says so and a year, a sign or a holder follows.
 COPYRIGHT_LINE = (
-    r"(^|\n)[ \t#*/;%-]*(?:"
+    r"(^|\n)[ \t#*/;%>|!-]*(?:"
     rf"(?:\(c\)[ \t]*)?copyright(?:{_STATED}|[ \t]*:?[ \t]+(?:{_other_word(_PROSE)}|the[ \t]+{_other_word(_THINGS)}))[^\n]*"
     rf"|\(c\)(?:{_STATED}|[ \t]*{_other_word(_PROSE + _ITEMS)})[^\n]*"
     r"|©[^\n]*"
     r"|all rights reserved(?:[ \t]+by[ \t][^\n]*|[^a-z0-9\n]*(?:copyright|\(c\)|©|[0-9]{4})[^\n]*|[^a-z0-9\n]*))"
 )
+NOTICES = (VERBATIM_NOTICE, PLACEHOLDER, COPYRIGHT_LINE)
 #: ASCII signs and white space, typographic quotes and dashes.
 SIGNS = "[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f‘’“”–— ]+"
 
@@ -141,7 +146,8 @@ SIGNS = "[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f‘’“”–— ]+"
 def canonical(text: Column) -> Column:
     """Lower case (ASCII), no copyright lines, signs and white space as single blanks, one spelling; null as the empty text."""
     out = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "\n")
+    for pattern in NOTICES:
+        out = F.regexp_replace(out, pattern, "\n")
     out = F.trim(F.regexp_replace(out, SIGNS, " "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
@@ -150,7 +156,9 @@ def canonical(text: Column) -> Column:
 
 def canonical_text(text: str) -> str:
     """The same for one text in Python, for the table of known digests."""
-    out = re.sub(COPYRIGHT_LINE, "\n", text.translate(str.maketrans(_UPPER, _LOWER)))
+    out = text.translate(str.maketrans(_UPPER, _LOWER))
+    for pattern in NOTICES:
+        out = re.sub(pattern, "\n", out)
     out = re.sub(SIGNS, " ", out).strip(" ")
     for old, new in SPELLINGS:
         out = out.replace(old, new)
@@ -181,7 +189,9 @@ def scan(docs: DataFrame, licences: dict[str, str] | None = None) -> DataFrame:
 def oracle() -> str:
     """The same in DuckDB's SQL."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    c = f"regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {quoted(COPYRIGHT_LINE)}, chr(10), 'g')"
+    c = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
+    for pattern in NOTICES:
+        c = f"regexp_replace({c}, {quoted(pattern)}, chr(10), 'g')"
     c = f"trim(regexp_replace({c}, {quoted(SIGNS)}, ' ', 'g'), ' ')"
     for old, new in SPELLINGS:
         c = f"replace({c}, '{old}', '{new}')"

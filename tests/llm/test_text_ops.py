@@ -180,6 +180,30 @@ def test_titled_and_long_licences(spark):
     assert [(i, got[i]) for i in range(len(rows)) if got[i] != want[i]] == []
 
 
+@pytest.mark.parametrize("style", ["{}", "# {}", "// {}", " * {}", "> {}", "| {}"])
+def test_known_texts_wrapped_anew(style):
+    """Paragraphs filled to any width, whatever lines they had, the copyright's among them."""
+    digests = dict(licenses.digest_table())
+    name = lambda text: digests.get(hashlib.sha256(licenses.canonical_text(text).encode()).hexdigest())
+    for known, text in licenses.known_licences().items():
+        own = name(text)
+        assert own is not None
+        for width in range(40, 121, 1 if len(text) < 5_000 else 4):
+            lines = [line for p in text.split("\n\n") for line in [*(textwrap.wrap(" ".join(p.split()), width) or [""]), ""]]
+            assert name("\n".join(style.format(x).rstrip() for x in lines)) == own, (known, width)
+
+
+def test_wrapped_texts_agree_with_sql(spark, duck, tmp_path):
+    gpl = licenses.known_licences()["GPL-2.0"]
+    texts = ["\n".join("# " + x for p in gpl.split("\n\n") for x in textwrap.wrap(" ".join(p.split()), w)) for w in (40, 72, 100)] + ["Copyright law applies here.\nCopyright 2020 A. B.\ncopyright holders may", "> Copyright (c) 2020 x\n> y"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["digest"], r["license"]) for r in licenses.scan(frame).collect()}
+    con = duckdb.connect()
+    documents = frame.toPandas()  # noqa: F841  read by the SQL
+    want = {r.doc_id: (r.digest, r.license if isinstance(r.license, str) else None) for r in con.execute(licenses.oracle()).df().itertuples()}
+    assert got == want and all(got[i][1] == "GPL-2.0" for i in range(3)) and got[3][1] is None
+
+
 def test_licence_edges(edges, nothing):
     assert licenses.scan(edges).count() == len(EDGES) and licenses.scan(nothing).count() == 0
 
