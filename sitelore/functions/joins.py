@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +14,8 @@ def hub_size(size: int) -> int:
     return max(256, -(-size // MOST_HUBS))
 
 
-def hub_join(rows: DataFrame, found: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """``rows`` inner joined with ``found``, whose rows have different ``keys`` and count in ``n`` the rows that hold them.
+def hub_join(rows: DataFrame, found: DataFrame, keys: list[str], size: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined (``inner`` or ``left``) with ``found``, whose rows have different ``keys`` and count in ``n`` the rows that hold them.
 
     ``size`` is a bound of the number of rows.  Keys of many rows are few, by
     that count, and are sent to all tasks: their rows stay where they lie.  The
@@ -29,5 +27,5 @@ def hub_join(rows: DataFrame, found: DataFrame, keys: list[str], size: int) -> D
     hubs = F.broadcast(found.where(F.col("n") >= least).select(*keys, held))
     marked = rows.join(hubs, keys, "left")
     near = marked.where(F.col("_held").isNotNull()).select(*rows.columns, *[F.col("_held")[c].alias(c) for c in values])
-    far = marked.where(F.col("_held").isNull() & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).select(*rows.columns)
-    return near.unionByName(far.join(found.where(F.col("n") < least).drop("n"), keys).select(*rows.columns, *values))
+    far = marked.where("_held is null").select(*rows.columns)
+    return near.unionByName(far.join(found.where(F.col("n") < least).drop("n"), keys, how).select(*rows.columns, *values))
