@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import hub_join, hub_size  # noqa: F401  for the operators
+from ..scratch import release, scratch_path, shared_dir, written  # noqa: F401  for the operators
+
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -22,47 +22,6 @@ def docs_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sitelore_"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for a written table in the shared folder; removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/sitelore/{name}-{uuid.uuid4().hex}"
-    atexit.register(remove_path, spark, path)
-    return path
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    try:
-        jvm, sc = spark.sparkContext._jvm, spark.sparkContext
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session may be gone
-        pass
-
-
-def written(df: DataFrame, name: str, *, rows: int | None = None, compression: str = "zstd") -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again.
-
-    With ``rows``, a bound of a narrow table's size, its files hold half a million
-    rows or so each: small tables of many partitions don't become many files.
-    """
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // 500_000)))
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str) -> DataFrame:
     """``mapInArrow`` with per-task state: ``make()`` runs once in each task and returns the batch function."""
 

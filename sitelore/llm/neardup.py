@@ -23,7 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hub_join, release, written
 from .components import components
 
 BITS, CAP = 3, 2048
@@ -166,12 +166,30 @@ def _buckets(keyed: DataFrame, level: int) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
 
 
-def _large_halves(fps: DataFrame, cap: int) -> DataFrame:
-    """The keys of all halves that over ``cap`` fingerprints share; counts are summed before the shuffle."""
-    halves = fps.select(F.explode(F.array(F.expr("struct(0 as s, fp & 4294967295L as half)"), F.expr("struct(1 as s, shiftrightunsigned(fp, 32) as half)"))).alias("h")).select("h.*")
-    large = halves.groupBy("s", "half").agg(F.count("*").alias("n")).where(F.col("n") > cap)
-    place = large.select("s", "half", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("p"))
-    return place.select(F.expr("shiftleft(cast(s * 33 + p as long), 32) | (half & (case when p = 32 then -1L else ~shiftleft(1L, p) end))").alias("key")).distinct()
+def _halves(fps: DataFrame) -> DataFrame:
+    """(fp, s, half): each fingerprint with either half."""
+    return fps.select("fp", F.explode(F.array(F.expr("struct(0 as s, fp & 4294967295L as half)"), F.expr("struct(1 as s, shiftrightunsigned(fp, 32) as half)"))).alias("h")).select("fp", "h.*")
+
+
+def _keyed_around(fps: DataFrame, counts: DataFrame, large: DataFrame, size: int) -> DataFrame:
+    """(key, fp, deep) where halves are ``large``: ``deep`` keys go on to the next level, the others make buckets.
+
+    A wildcard key of a large half serves only if the half that differs there
+    exists; all its other wildcard keys, which would hold nothing but the half
+    itself, are left out: equal halves meet under the key without a wildcard.
+    """
+    place = F.explode(F.sequence(F.lit(0), F.lit(31))).alias("p")
+    near = large.select("s", F.col("half").alias("own"), place).select("s", "own", F.expr("own ^ shiftleft(1L, p)").alias("half"), F.expr("shiftleft(1L, p)").alias("bit"))
+    near = near.join(counts.select("s", "half"), ["s", "half"], "left_semi")
+    bits = (
+        large.select("s", "half", F.lit(1 << 32).alias("bit"), F.lit(True).alias("is_large")).unionByName(near.select("s", "half", "bit", F.lit(False).alias("is_large")))
+        .unionByName(near.select("s", F.col("own").alias("half"), "bit", F.lit(True).alias("is_large")))
+    )
+    marks = bits.groupBy("s", "half").agg(F.bit_or("bit").alias("bits"), F.max("is_large").alias("is_large")).join(counts, ["s", "half"])
+    held = hub_join(_halves(fps), marks, ["s", "half"], 2 * size, "left")
+    rows = held.select("fp", "s", "half", "bits", "is_large", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("p"))
+    rows = rows.withColumn("deep", F.coalesce(F.expr("(shiftright(bits, p) & 1) = 1"), F.lit(False))).where("deep or is_large is null or not is_large")
+    return rows.select(F.expr("shiftleft(cast(s * 33 + p as long), 32) | (half & (case when p = 32 then -1L else ~shiftleft(1L, p) end))").alias("key"), "fp", "deep")
 
 
 def links(fps: DataFrame, cap: int = CAP) -> DataFrame:
@@ -179,22 +197,32 @@ def links(fps: DataFrame, cap: int = CAP) -> DataFrame:
 
     Keys of large buckets are known from counts before any bucket is formed:
     their rows go to the next level where they lie, so no task gathers them.  What
-    is left of a bucket is at most twice ``cap``, or 2,048 at the last level.
+    is left of a bucket is at most twice ``cap``, or 2,048 at the last level.  The
+    tables written for that are in the result's ``_held``.
     """
-    keyed, edges = _keyed(fps), None
-    large = _large_halves(fps, cap)
-    for level in (1, 2, 3):
-        deeper = None
-        if level < 3 and (n := large.count()):
-            large = written(large, "large", rows=n)
-            marked = keyed.join(large.withColumn("large", F.lit(True)), "key", "left")
-            deeper = written(_deepened(marked.where("large"), level), f"keys{level + 1}")
-            keyed = marked.where("large is null").select("key", "fp")
-        found = _buckets(keyed, level)
-        edges = found if edges is None else edges.unionByName(found)
-        if deeper is None:
-            break
-        keyed, large = deeper, deeper.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("key")
+    size = fps.count()
+    counts = _halves(fps).groupBy("s", "half").agg(F.count("*").alias("n"))
+    large, held = written(counts.where(F.col("n") > cap), "large", rows=2 * size // cap + 1), []
+    held.append(large)
+    if large.isEmpty():
+        edges = _buckets(_keyed(fps), 1)
+        edges._held = held
+        return edges
+    marked = _keyed_around(fps, counts, large, size)
+    edges = _buckets(marked.where("not deep").select("key", "fp"), 1)
+    deeper = written(_deepened(marked.where("deep"), 1), "keys2")
+    held.append(deeper)
+    sizes = deeper.groupBy("key").agg(F.count("*").alias("n"))
+    large = written(sizes.where(F.col("n") > cap).withColumn("large", F.lit(True)), "large", rows=size)
+    held.append(large)
+    if large.isEmpty():
+        edges = edges.unionByName(_buckets(deeper, 2))
+    else:
+        marked = hub_join(deeper, large, ["key"], deeper.count(), "left")
+        last = written(_deepened(marked.where("large"), 2), "keys3")
+        held.append(last)
+        edges = edges.unionByName(_buckets(marked.where("large is null").select("key", "fp"), 2)).unionByName(_buckets(last, 3))
+    edges._held = held
     return edges
 
 
@@ -208,11 +236,14 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """
     prints = written(fingerprints(docs, words), "fingerprints")
     size = prints.count()
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes", rows=16 * size)  # smaller files: each row becomes 66 keys
-    edges = links(nodes.select("fp")).persist(StorageLevel.DISK_ONLY)  # read twice; what a lost executor held is worked out again
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes", rows=16 * size)  # smaller files: each row becomes 66 keys
+    found = links(nodes.select("fp"))
+    edges = found.persist(StorageLevel.DISK_ONLY)  # read twice; what a lost executor held is worked out again
     roots = components(edges)
     edges.unpersist()
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = written(named.join(least, "root").select("fp", "component_id"), "groups", rows=size)
-    return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    release(*found._held)
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    groups = written(hub_join(named, least, ["root"], size).select("fp", "component_id", F.col("copies").alias("n")), "groups", rows=size)
+    release(nodes, roots)
+    return hub_join(prints, groups, ["fp"], size).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
