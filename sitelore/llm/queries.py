@@ -36,7 +36,7 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Seconds at which the derived captures and list entries begin (2024-01-01).
 _EPOCH = 1_704_067_200
-_HOST_SQL = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]*)', 1))"
+_HOST_SQL = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1))"
 _LIST_SQL = "case page_id % 3 when 0 then 'malware' when 1 then 'adult' else 'spam' end"
 #: The tables hold no fetch times and no lists: both are derived from ``page_id``, in words that Spark and DuckDB share.
 _CAPTURES = f"select page_id, url, {_EPOCH} + (page_id * 7919 % 525600) * 60 as fetched_at from pages"

@@ -6,7 +6,8 @@ if the greatest end among the intervals begun by t is after t.  That maximum
 makes an as-of join that splits: intervals and captures are cut into time
 buckets, the maximum of earlier buckets is carried into each, and a window runs
 within one (list, pattern, bucket).  So a host with a third of all captures is
-spread over its buckets, and nothing is compared pair by pair.
+spread over its buckets, a bucket of very many captures over parts that each get
+the bucket's intervals, and nothing is compared pair by pair.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import hub_size
+
 #: A pattern's captures are spread over so many parts where they meet its lists, whose few rows are repeated.
 SALTS = 32
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
@@ -56,12 +59,17 @@ def temporal_filter(captures: DataFrame, entries: DataFrame, *, bucket: int = 86
     earlier = Window.partitionBy("list_name", "pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = places.select("list_name", "pattern", "bucket", F.max("until").over(earlier).alias("until")).where("until is not null")
     none = F.lit(None)
-    rows = (
-        asked.select("list_name", "pattern", "bucket", "t", none.cast("long").alias("until"), "host")
-        .unionByName(valid.select("list_name", "pattern", "bucket", "t", "until", none.cast("string").alias("host")))
-        .unionByName(carried.select("list_name", "pattern", "bucket", F.lit(-(1 << 63)).alias("t"), "until", none.cast("string").alias("host")))
-    )
-    begun = Window.partitionBy("list_name", "pattern", "bucket").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    place = ["list_name", "pattern", "bucket"]
+    # buckets of very many captures, few by their count, are cut into parts: all tasks know them, and their intervals go to each part
+    sizes = asked.groupBy(*place).agg(F.count("*").alias("n"))
+    least = hub_size(sizes.agg(F.sum("n")).first()[0] or 0)
+    parts = F.broadcast(sizes.where(F.col("n") >= least).select(*place, F.ceil(F.col("n") / least).cast("int").alias("parts")))
+    timed = (
+        valid.select(*place, "t", "until").unionByName(carried.select(*place, F.lit(-(1 << 63)).alias("t"), "until")).join(parts, place, "left")
+        .select(*place, "t", "until", none.cast("string").alias("host"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    )
+    rows = asked.join(parts, place, "left").select(*place, "t", none.cast("long").alias("until"), "host", F.pmod(F.xxhash64("host", "t"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")).unionByName(timed)
+    begun = Window.partitionBy(*place, "part").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     active = rows.withColumn("latest", F.max("until").over(begun)).where("host is not null and latest > t")
     found = active.groupBy("host", "t").agg(F.array_join(F.sort_array(F.collect_set("list_name")), ",").alias("lists"))
     found = found.select(F.col("host").alias("_host"), F.col("t").alias("_t"), F.col("lists").alias("_lists"))

@@ -78,7 +78,10 @@ def test_chat_plan_has_no_python(spark):
     assert not re.search("Python|Pandas|Arrow(?!Eval)", plan.replace("ArrowRDD", ""))
 
 
-def test_url_filter_brute_force(spark):
+@pytest.mark.parametrize("hub", [256, 7])
+def test_url_filter_brute_force(spark, monkeypatch, hub):
+    """Also where each bucket of a few captures is cut into parts."""
+    monkeypatch.setattr(urlfilter, "hub_size", lambda size: hub)
     rng = random.Random(6)
     hosts = ["a.com", "b.a.com", "c.b.a.com", "aa.com", "x.org", "", "com"]
     captures = [(i, None if h == "" else f"https://u@{h.upper()}:8080/p", None if rng.random() < 0.02 else rng.randrange(0, 400_000)) for i in range(400) for h in [rng.choice(hosts)]] + [(0, "https://a.com/", 5), (0, "https://a.com/", 5)]
