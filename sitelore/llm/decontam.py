@@ -13,13 +13,15 @@ dropping signs; an item of L words is found where a passage lies within
    distance.  A sample of the embedding's coordinates makes a key; equal keys of
    window and item make a candidate.  The walk and the sample are repeated until
    simulated edits of the items at the largest distance are found with the
-   target recall.
+   target recall.  Lengths that ``MOST_REPEATS`` walks don't bring there (texts of
+   hundreds of words) need no luck: all windows left by step 1 are candidates of
+   the very items that they were left for.
 3. A candidate's passage is searched for the item by exact edit distance
    (bit-parallel dynamic programming).
 
 The items' index is the only thing sent to tasks.  A benchmark over
 ``BLOCK_WORDS`` words is cut into blocks of items, each scanned against all
-documents, so the index stays bounded.
+documents: one block's index is built, sent, used and freed before the next.
 """
 
 from __future__ import annotations
@@ -30,9 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release, written
 from .tokens import slices
 
 SIMILARITY, RECALL, SAMPLED, MOST_REPEATS, BLOCK_WORDS = 0.8, 0.995, 2, 96, 400_000
@@ -128,6 +132,7 @@ class Index:
         self.pairs = np.unique(np.concatenate([i * np.int64(len(vocabulary) + 1) + np.unique(x) for i, x in enumerate(self.items)])) if self.items else np.zeros(0, np.int64)
         self._postings(len(vocabulary))
         self.plans = {n: self._plan(n, own) for n, own in self.by_length.items()}
+        self.exact = np.array([len(self.plans[len(x)][0]) == 0 for x in self.items], bool)  # found without walks
         self._tables()
 
     def _edited(self, x: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
@@ -143,14 +148,16 @@ class Index:
         return np.array(out[: len(x)] + [0] * max(0, len(x) - len(out)), np.int64)
 
     def _plan(self, size: int, own: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Seeds and sampled steps of as many walks as find simulated edits with the target recall."""
+        """Seeds and sampled steps of as many walks as find simulated edits with the target recall; none where ``MOST_REPEATS`` don't."""
         rng = np.random.default_rng([self.seed, size])
         some = [own[i] for i in rng.permutation(len(own))[:16]]
         edits = self.edits[own[0]]
         trial = np.repeat(np.stack([self.items[i] for i in some]), 24, 0)
         changed = np.stack([self._edited(x, edits, rng) for x in trial])
         missed, seeds, steps = np.ones(len(trial), bool), [], []
-        while len(seeds) < MOST_REPEATS and (not seeds or edits and missed.mean() > 1 - self.recall):
+        while not seeds or edits and missed.mean() > 1 - self.recall:
+            if len(seeds) == MOST_REPEATS:
+                return np.zeros(0, np.uint64), np.zeros((0, SAMPLED), np.int64)
             seeds.append(int(rng.integers(1 << 62)))
             steps.append(np.sort(rng.permutation(max(SAMPLED, int(1.2 * size)))[:SAMPLED]))
             seed, sampled = np.full(len(trial), seeds[-1], np.uint64), np.repeat(steps[-1][None], len(trial), 0)
@@ -189,13 +196,13 @@ class Index:
         self.sizes = np.array([len(x) for x in self.items], np.int64)
         self.slack = np.array(self.edits, np.int64)
 
-    def windows(self, ids: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(length, start) of all item-sized windows that the words' occurrences leave possible."""
+    def windows(self, ids: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(length, start) of all item-sized windows that the words' occurrences leave possible, to be embedded; (start, entry) of those of exact items."""
         counts = (self.post_starts[1:] - self.post_starts[:-1])[ids]
         at = np.flatnonzero(counts)
         counts = counts[at]
         if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return (np.zeros(0, np.int64),) * 4
         ends = np.cumsum(counts)
         place = np.repeat(at, counts)
         item = self.post_items[np.repeat(self.post_starts[ids[at]] - (ends - counts), counts) + np.arange(int(ends[-1]))]
@@ -209,17 +216,33 @@ class Index:
         item, low, high = item[good], place[last[good]] - width[good] + 1, place[good]
         text = np.searchsorted(edge, high, "right") - 1
         same = edge[text + 1] > place[last[good]]
-        low, high, size = np.maximum(low, edge[text])[same], high[same], self.sizes[item[same]]
-        times = high - low + 1
-        ends = np.cumsum(times)
-        starts = np.repeat(low - (ends - times), times) + np.arange(int(ends[-1]) if len(ends) else 0)
-        every = np.unique(np.repeat(size, times) << 40 | starts)
-        return every >> 40, every & ((1 << 40) - 1)
+        low, high, item = np.maximum(low, edge[text])[same], high[same], item[same]
+
+        def spread(own: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            times = high[own] - low[own] + 1
+            ends = np.cumsum(times)
+            starts = np.repeat(low[own] - (ends - times), times) + np.arange(int(ends[-1]) if len(ends) else 0)
+            every = np.unique(np.repeat(what[own], times) << 40 | starts)
+            return every >> 40, every & ((1 << 40) - 1)
+
+        exact = self.exact[item]
+        entries, places = spread(exact, item) if exact.any() else (np.zeros(0, np.int64),) * 2
+        return *spread(~exact, self.sizes[item]), places, entries
 
     def scan(self, ids: np.ndarray, edge: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, entry, distance, end word) of all passages; ``ids`` the texts' words one after another, 0 for others, ``edge`` where texts begin."""
         hits: dict[tuple[int, int], list[int]] = {}
-        lengths, starts = self.windows(ids, edge)
+        lengths, starts, exact_starts, exact_entries = self.windows(ids, edge)
+
+        def keep(first: np.ndarray, entry: np.ndarray) -> None:
+            """Remember the windows that hold enough words of their candidates."""
+            text = np.searchsorted(edge, first, "right") - 1
+            good = self._enough(ids, first, np.minimum(self.sizes[entry] + self.slack[entry], edge[text + 1] - first), entry, self.sizes[entry] - self.slack[entry])
+            for t, e, place in zip(text[good].tolist(), entry[good].tolist(), first[good].tolist(), strict=True):
+                hits.setdefault((t, e), []).append(place)
+
+        for a in range(0, len(exact_starts), 1_000_000):
+            keep(exact_starts[a : a + 1_000_000], exact_entries[a : a + 1_000_000])
         walks = np.array([len(self.plans[n][0]) if n in self.plans else 0 for n in range(int(lengths.max(initial=0)) + 1)])
         rows = np.cumsum(walks[lengths]) if len(lengths) else np.zeros(0, np.int64)
         for a, b in zip(*_cuts(rows, 1_000_000), strict=True):
@@ -237,11 +260,7 @@ class Index:
             times = np.searchsorted(self.keys, got[found], "right") - low
             pair = np.repeat(window, times) << 32 | self.entries[np.repeat(low, times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)]
             pair = np.unique(pair)
-            window, entry = pair >> 32, pair & 0xFFFFFFFF
-            fewest = self.sizes[entry] - self.slack[entry]
-            good = self._enough(ids, first[window], np.minimum(self.sizes[entry] + self.slack[entry], room[window]), entry, fewest)
-            for w, e in zip(window[good].tolist(), entry[good].tolist(), strict=True):
-                hits.setdefault((int(text[w]), e), []).append(int(first[w]))
+            keep(first[pair >> 32], pair & 0xFFFFFFFF)
         for (t, e), places in sorted(hits.items()):
             yield from self._verify(ids, int(edge[t]), int(edge[t + 1]), t, e, sorted(set(places)))
 
@@ -277,27 +296,48 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, similarity: float = S
     are ignored; empty tables give no rows.
     """
     out = None
-    for index in _indexes(benchmark, similarity, recall, block_words):
-        found = _scan(docs, index)
+    for last, index in _indexes(benchmark, similarity, recall, block_words):
+        found, shared = _scan(docs, index)
+        del index  # freed before the next is built
+        if out is None and last:  # a single block
+            return found
+        found = written(found, "found")
+        shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ...], similarity: float = SIMILARITY, recall: float = RECALL, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` (columns ``keep``, the text among them) that hold no passage of any item, in one pass without a join."""
-    for index in _indexes(benchmark, similarity, recall, block_words):
-        docs = _drop(docs.select(*keep), index)
-    return docs
-
+    """The rows of ``docs`` (columns ``keep``, the text among them) that hold no passage of any item.
 
-def _indexes(benchmark: DataFrame, similarity: float, recall: float, block_words: int) -> Iterator[Index]:
-    """Indexes of about ``block_words`` words each, over all items together."""
+    No join: a single block drops them in the pass that scans, each of several
+    writes what it leaves for the next.  Null texts and null ids stay; rows that
+    share an id, and repeated rows, are judged one by one; other columns than
+    ``keep`` are ignored; an empty benchmark drops nothing, an empty table gives no
+    rows.
+    """
+    left = docs.select(*keep)
+    before = None
+    for last, index in _indexes(benchmark, similarity, recall, block_words):
+        kept, shared = _drop(left, index)
+        del index
+        if before is None and last:
+            return kept
+        left = written(kept, "uncontaminated")
+        shared.destroy()
+        release(before)
+        before = left
+    return left
+
+
+def _indexes(benchmark: DataFrame, similarity: float, recall: float, block_words: int) -> Iterator[tuple[bool, Index]]:
+    """Indexes of about ``block_words`` words each, over all items together, and whether each is the last; one at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(size / block_words))
     for block in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        yield Index(sorted(((r["item_id"], r["text"]) for r in own.collect()), key=str), similarity, recall)
+        yield block == blocks - 1, Index(sorted(((r["item_id"], r["text"]) for r in own.collect()), key=str), similarity, recall)
 
 
 def _hits(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
@@ -310,7 +350,7 @@ def _hits(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
             yield a + text, entry, distance, end
 
 
-def _drop(docs: DataFrame, index: Index) -> DataFrame:
+def _drop(docs: DataFrame, index: Index) -> tuple[DataFrame, Broadcast]:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,14 +359,14 @@ def _drop(docs: DataFrame, index: Index) -> DataFrame:
             clean[[row for row, *_ in _hits(shared.value, batch.column("text"))]] = False
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema), shared
 
 
-def _scan(docs: DataFrame, index: Index) -> DataFrame:
+def _scan(docs: DataFrame, index: Index) -> tuple[DataFrame, Broadcast]:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index: Index = shared.value
         for batch in batches:
             doc_ids, rows = batch.column("doc_id").to_pylist(), []
             best: dict[tuple[int, int], tuple[int, int]] = {}
@@ -339,4 +379,4 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA), shared

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import random
 import re
 import textwrap
 import time
+import weakref
 from collections import Counter
 
 import duckdb
@@ -371,6 +373,47 @@ def test_blocks_of_items_agree(spark):
     assert left == {r["doc_id"] for r in docs.collect()} - {d for d, _, _ in whole}
 
 
+def test_one_index_at_a_time(spark, monkeypatch):
+    """Several blocks: none is built while another lives."""
+    docs, bench = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "benchmark"))
+    alive: weakref.WeakSet = weakref.WeakSet()
+    most, built = 0, decontam.Index
+
+    def counted(*args):
+        nonlocal most
+        gc.collect()
+        index = built(*args)
+        alive.add(index)
+        most = max(most, len(alive))
+        return index
+
+    monkeypatch.setattr(decontam, "Index", counted)
+    few = docs.limit(40)
+    decontam.contaminated(few, bench, block_words=200).count()
+    decontam.uncontaminated(few, bench, keep=("doc_id", "text"), block_words=200).count()
+    assert most == 1
+
+
+def test_long_items(spark):
+    """Items whose walks miss the target recall are found without them."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(4_000)]
+    items = [[words[i] for i in rng.integers(0, 4_000, 600)] for _ in range(3)]
+    docs = []
+    for i in range(24):
+        passage = list(items[i % 3])
+        for _ in range(120):  # the largest distance
+            at = int(rng.integers(len(passage)))
+            passage[at : at + int(rng.integers(2))] = [] if rng.random() < 0.5 and len(passage) > 590 else ["zzz"]
+        k = min((d for d, _ in decontam.search([words.index(w) for w in items[i % 3]], [words.index(w) if w in words else -1 for w in passage], 120)), default=None)
+        docs.append((i, " ".join(["before"] * 30 + passage + ["after"] * 30), k))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    index = decontam.Index([(i, " ".join(x)) for i, x in enumerate(items)])
+    assert index.exact.all()
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontam.contaminated(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), bench).collect()}
+    assert got == {(i, i % 3): k for i, _, k in docs if k is not None} and len(got) > 10
+
+
 def test_decontamination_edges(spark, edges, nothing):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (None, "another text of the same id"), (5, "another text of the same id"), (6, "one")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(edges, items).collect()}
