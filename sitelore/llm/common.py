@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -22,6 +23,15 @@ def docs_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_memory() -> None:
+    """Give back what a worker's earlier tasks left: workers are used again, and their freed memory would add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str) -> DataFrame:
     """``mapInArrow`` with per-task state: ``make()`` runs once in each task and returns the batch function."""
 

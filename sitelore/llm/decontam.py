@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import free_memory, release, written
 from .tokens import slices
 
 SIMILARITY, RECALL, SAMPLED, MOST_REPEATS, BLOCK_WORDS = 0.8, 0.995, 2, 96, 400_000
@@ -354,6 +354,7 @@ def _drop(docs: DataFrame, index: Index) -> tuple[DataFrame, Broadcast]:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_memory()
         for batch in batches:
             clean = np.ones(batch.num_rows, bool)
             clean[[row for row, *_ in _hits(shared.value, batch.column("text"))]] = False
@@ -366,6 +367,7 @@ def _scan(docs: DataFrame, index: Index) -> tuple[DataFrame, Broadcast]:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_memory()
         index: Index = shared.value
         for batch in batches:
             doc_ids, rows = batch.column("doc_id").to_pylist(), []

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import free_memory, scratch_path
 from .tokens import encoder_for, slices
 
 MAGIC, CHECKPOINT, MAX_BITS, BLOCK_IDS = b"SLH1", 256, 18, 1 << 18
@@ -138,6 +138,7 @@ def tokenize_sorted(docs: DataFrame, tokenizer: str, *, end_id: int = 0) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        free_memory()
         encoder, shard, pos = encoder_for(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             doc_ids, texts = batch.column("doc_id"), batch.column("text")

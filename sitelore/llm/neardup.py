@@ -23,7 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hub_join, release, written
+from .common import free_memory, hub_join, release, written
 from .components import components
 
 BITS, CAP = 3, 2048
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit number; a null text is an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_memory()
         for batch in batches:
             fps = np.fromiter((fingerprint(t or "", words) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
@@ -246,4 +247,6 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     groups = written(hub_join(named, least, ["root"], size).select("fp", "component_id", F.col("copies").alias("n")), "groups", rows=size)
     release(nodes, roots)
-    return hub_join(prints, groups, ["fp"], size).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = hub_join(prints, groups, ["fp"], size).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out._held = [prints, groups]  # what the rows are read from: a caller that has written them may release these
+    return out

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import free_memory
 from .tokens import encoder_for, slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -150,6 +151,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, capacity: int = 40
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        free_memory()
         encoder, packer = encoder_for(tokenizer, max_pieces=400_000), Packer(capacity, windows)
         base, serial, sequences = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33, 0, 0
         held: dict[int, tuple[int | None, np.ndarray]] = {}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, crc_fold, hash_sample, written
+from .common import WORD, crc_fold, free_memory, hash_sample, written
 
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 _SPACES, _SYMBOLS = "\x20\x09\x0a\x0b\x0c\x0d", "#*$%&|<>"
@@ -58,6 +58,7 @@ def stats(docs: DataFrame) -> DataFrame:
     """``STATS`` of every whole text; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_memory()
         for batch in batches:
             rows = [text_stats(t or "") for t in batch.column("text").to_pylist()]
             cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6

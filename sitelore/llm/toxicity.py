@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted
-from .common import crc_fold, hash_sample, written
+from .common import crc_fold, free_memory, hash_sample, written
 from .levenshtein import LexiconAutomaton, Term
 
 TRAIN_ROWS, MOST_TERMS, WINDOW = 16_000, 120, 6
@@ -203,6 +203,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, keep: tuple[str, ...] = ("do
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in out) + ", score double, predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_memory()
         scorer = model.scorer()
         for batch in batches:
             p = np.clip(scorer(batch.column("text")), 0.0, 1.0)
