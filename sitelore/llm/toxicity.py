@@ -195,9 +195,11 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) -
 def score(docs: DataFrame, model: ToxicityModel, *, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
     """The columns ``keep`` (the text only ``with_text``) with ``score`` (0 to 1) and ``predicted``.
 
-    A null text is an empty one and is scored too; ids, ties and repeated rows
-    pass through; an empty table gives no rows.
+    A null text is an empty one and is scored too; columns of ``keep`` that are
+    named as a result are replaced; ids, ties and repeated rows pass through; an
+    empty table gives no rows.
     """
+    keep = tuple(c for c in keep if c not in ("score", "predicted"))
     out = tuple(c for c in keep if with_text or c != "text")
     kept = docs.select(*dict.fromkeys((*keep, "text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in out) + ", score double, predicted int"
