@@ -7,9 +7,10 @@ time rounded down.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TRIM = "^[\\s\\u00a0\\ufeff]+|[\\s\\u00a0\\ufeff]+$"
@@ -20,6 +21,17 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, wherever the expression ends up."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def staged(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``rows`` with columns (new or in place of old ones) that the optimizer doesn't merge into what reads them: a generator stands between, no shuffle."""
+    kept = [c for c in rows.columns if c not in columns]
+    return rows.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))).select(*rows.columns, *[n for n in columns if n not in rows.columns])
+
+
 def empty(x: Column | str) -> Column:
     """Null or the empty text."""
     return col(x).isNull() | (col(x) == "")
@@ -50,14 +62,23 @@ def elapsed_days(later: Column, earlier: Column) -> Column:
     return F.floor(micros / F.lit(86_400_000_000.0)).cast("int")
 
 
-#: Formats that dates are tried in, after the default one; white space is collapsed first.
-DATE_FORMATS = ("MMM d HH:mm:ss yyyy z", "dd-MMM-yyyy", "yyyy.MM.dd", "yyyy/MM/dd", "dd.MM.yyyy", "MMM d HH:mm:ss z yyyy", "MMM d yyyy", "yyyyMMdd")
+#: Shapes of dates and their formats, the first that fits a text; white space is collapsed and the weekday's name gone by then.
+DATE_SHAPES = (
+    (r"^\d{4}-\d", None), (r"^[A-Za-z]{3} \d{1,2} \d{2}:\d{2}:\d{2} \d{4} \S", "MMM d HH:mm:ss yyyy z"), (r"^[A-Za-z]{3} \d{1,2} \d{2}:\d{2}:\d{2} \S+ \d{4}$", "MMM d HH:mm:ss z yyyy"), (r"^[A-Za-z]{3} \d{1,2} \d{4}$", "MMM d yyyy"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"), (r"^\d{4}\.\d{2}\.\d{2}$", "yyyy.MM.dd"), (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"), (r"^\d{2}\.\d{2}\.\d{4}$", "dd.MM.yyyy"), (r"^\d{8}$", "yyyyMMdd"),
+)
 
 
 def to_time(x: Column | str) -> Column:
-    """A time from a text in any of the known formats, else null."""
-    clean = F.regexp_replace(F.regexp_replace(trimmed(x), r"\s+", " "), "^(Mon|Tue|Wed|Thu|Fri|Sat|Sun),? ", "")
-    return F.coalesce(F.try_to_timestamp(clean), *[F.try_to_timestamp(clean, F.lit(f)) for f in DATE_FORMATS])
+    """A time from a text in any of the known formats, else null: its shape tells the format, so it is parsed once."""
+
+    def parsed(clean: Column) -> Column:
+        out = F
+        for shape, form in DATE_SHAPES:
+            out = out.when(clean.rlike(shape), F.try_to_timestamp(clean) if form is None else F.try_to_timestamp(clean, F.lit(form)))
+        return out.otherwise(F.try_to_timestamp(clean))
+
+    return let(F.regexp_replace(F.regexp_replace(trimmed(x), r"\s+", " "), "^(Mon|Tue|Wed|Thu|Fri|Sat|Sun),? ", ""), parsed)
 
 
 def iso(x: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import refdata as R
-from ..functions.text import number_prefix, trimmed
+from ..functions.text import let, number_prefix, staged, trimmed
 
 GROUP = "struct<userAgent: string, allow: array<string>, disallow: array<string>, crawlDelay: double>"
 
@@ -44,51 +44,53 @@ def lines_of(body: Column) -> Column:
     return F.transform(F.split(body, "\\r?\\n", -1), line)
 
 
-def _groups(lines: Column) -> Column:
-    """Groups in order: each user-agent line opens one, rules go to the latest, rules before the first are dropped."""
-    none = F.array().cast(f"array<{GROUP}>")
-    opened = F.struct(none.alias("done"), F.lit(None).cast(GROUP).alias("now"))
+def _groups(rules: Column) -> Column:
+    """Groups in order: each user-agent line opens one, the rules up to the next are its own, rules before the first are dropped.
 
-    def step(acc: Column, x: Column) -> Column:
-        now, value = acc["now"], x["value"]
-        fresh = F.struct(value.alias("userAgent"), F.array().cast("array<string>").alias("allow"), F.array().cast("array<string>").alias("disallow"), F.lit(None).cast("double").alias("crawlDelay"))
-        changed = F.struct(
-            now["userAgent"].alias("userAgent"),
-            F.when(x["directive"] == "allow", F.array_append(now["allow"], value)).otherwise(now["allow"]).alias("allow"),
-            F.when(x["directive"] == "disallow", F.array_append(now["disallow"], value)).otherwise(now["disallow"]).alias("disallow"),
-            F.when(x["directive"] == "crawl-delay", F.coalesce(number_prefix(value), now["crawlDelay"])).otherwise(now["crawlDelay"]).alias("crawlDelay"),
-        )
-        opens = x["directive"] == "user-agent"
-        done = F.when(opens & now.isNotNull(), F.array_append(acc["done"], now)).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.when(opens, fresh).when(now.isNotNull(), changed).cast(GROUP).alias("now"))
+    ``rules`` is read by index and in slices that don't overlap: linear in the lines, where a fold would copy what it has at each step.
+    """
+    opens = F.filter(F.transform(rules, lambda x, i: F.when(x["directive"] == "user-agent", i)), lambda i: i.isNotNull())
+    ends = F.concat(F.slice(opens, F.lit(2), F.size(opens)), F.array(F.size(rules)))
+
+    def group(start: Column, end: Column) -> Column:
+        own = F.transform(F.when(end - start > 1, F.sequence(start + 1, end - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.get(rules, i))
+        values = lambda own, name: F.transform(F.filter(own, lambda x: x["directive"] == name), lambda x: x["value"])
+        return let(own, lambda own: F.struct(
+            F.get(rules, start)["value"].alias("userAgent"), values(own, "allow").alias("allow"), values(own, "disallow").alias("disallow"),
+            F.try_element_at(F.filter(F.transform(F.filter(own, lambda x: x["directive"] == "crawl-delay"), lambda x: number_prefix(x["value"])), lambda n: n.isNotNull()), F.lit(-1)).alias("crawlDelay"),
+        ))
 
-    return F.aggregate(lines, opened, step, lambda a: F.when(a["now"].isNull(), a["done"]).otherwise(F.array_append(a["done"], a["now"])))
+    return F.when(F.size(opens) > 0, F.zip_with(opens, ends, group)).otherwise(F.array().cast(f"array<{GROUP}>")).cast(f"array<{GROUP}>")
 
 
 def parse(rows: DataFrame, body: str = "body") -> DataFrame:
-    """``rows`` with ``groups``, ``sitemaps``, ``raw_lines`` and ``has_errors``."""
-    ruled = F.filter(F.col("_lines"), lambda x: x["ruled"])
-    return (
-        rows.withColumn("_lines", lines_of(F.coalesce(F.col(body), F.lit(""))))
-        .withColumn("groups", _groups(F.filter(ruled, lambda x: x["directive"].isin("user-agent", "allow", "disallow", "crawl-delay"))))
-        .withColumn("sitemaps", F.transform(F.filter(ruled, lambda x: (x["directive"] == "sitemap") & (x["value"] != "")), lambda x: x["value"]))
-        .withColumn("raw_lines", F.size("_lines").cast("long"))
-        .withColumn("has_errors", F.exists("_lines", lambda x: ~x["blank"] & ~x["ruled"]))
-        .drop("_lines")
-    )
+    """``rows`` with ``groups``, ``sitemaps``, ``raw_lines`` and ``has_errors``: the body is taken apart once, in a stage of its own."""
+    own = [c for c in rows.columns if c not in ("groups", "sitemaps", "raw_lines", "has_errors")]
+    lined = staged(rows.select(*own), {"_lines": lines_of(F.coalesce(F.col(body), F.lit("")))})
+    lined = lined.withColumn("_rules", F.filter("_lines", lambda x: x["ruled"] & x["directive"].isin("user-agent", "allow", "disallow", "crawl-delay")))
+    return staged(lined, {
+        "groups": _groups(F.col("_rules")),
+        "sitemaps": F.transform(F.filter("_lines", lambda x: x["ruled"] & (x["directive"] == "sitemap") & (x["value"] != "")), lambda x: x["value"]),
+        "raw_lines": F.size("_lines").cast("long"),
+        "has_errors": F.exists("_lines", lambda x: ~x["blank"] & ~x["ruled"]),
+    }).drop("_lines", "_rules")
 
 
 def shared_rules(groups: Column) -> Column:
     """The conventional reading of agents in a row: one without rules of its own has those of the next that has some."""
-    start = F.struct(F.array().cast(f"array<{GROUP}>").alias("out"), F.lit(None).cast(GROUP).alias("next"))
+    bare = lambda g: (F.size(g["allow"]) == 0) & (F.size(g["disallow"]) == 0) & g["crawlDelay"].isNull()
+    # the place of the group whose rules each has, by a fold over places alone, from the last
+    places = F.aggregate(
+        F.reverse(F.transform(groups, lambda g, i: F.when(~bare(g), i))), F.struct(F.lit(None).cast("int").alias("next"), F.lit("").alias("run")),
+        lambda acc, i: let(F.coalesce(i, acc["next"]), lambda own: F.struct(own.alias("next"), F.concat(F.coalesce(own.cast("string"), F.lit("-1")), F.lit(","), acc["run"]).alias("run"))), lambda acc: F.split(F.rtrim(F.regexp_replace(acc["run"], ",$", "")), ","),
+    )
 
-    def step(acc: Column, g: Column) -> Column:
-        bare = (F.size(g["allow"]) == 0) & (F.size(g["disallow"]) == 0) & g["crawlDelay"].isNull() & acc["next"].isNotNull()
-        after = acc["next"]
-        own = F.when(bare, F.struct(g["userAgent"].alias("userAgent"), after["allow"].alias("allow"), after["disallow"].alias("disallow"), after["crawlDelay"].alias("crawlDelay"))).otherwise(g).cast(GROUP)
-        return F.struct(F.array_append(acc["out"], own).alias("out"), own.alias("next"))
+    def own(g: Column, place: Column) -> Column:
+        after = F.get(groups, place.cast("int"))
+        rules = F.when(bare(g) & after.isNotNull(), after).otherwise(g)
+        return F.struct(g["userAgent"].alias("userAgent"), rules["allow"].alias("allow"), rules["disallow"].alias("disallow"), rules["crawlDelay"].alias("crawlDelay"))
 
-    return F.reverse(F.aggregate(F.reverse(groups), start, step, lambda a: a["out"]))
+    return F.when(F.size(groups) > 0, F.zip_with(groups, places, own)).otherwise(groups).cast(f"array<{GROUP}>")
 
 
 def _blocks_root(rules: Column, strict: bool = False) -> Column:
@@ -106,17 +108,19 @@ def policies(groups: Column, global_block: Column, strict: bool = False) -> Colu
     """The rules of the known crawlers, in order: the first group of their name, any case, else the global block."""
     no_rules = F.array().cast("array<string>")
 
-    def policy(bot: Column) -> Column:
-        own = F.get(F.filter(groups, lambda g: F.lower(g["userAgent"]) == F.lower(bot)), F.lit(0))
+    def policy(own: Column, place: Column) -> Column:
         root = _blocks_root(own["disallow"], strict)
         return F.struct(
-            bot.alias("bot"),
+            F.get(F.array(*[F.lit(b) for b in R.BOTS]), place).alias("bot"),
             F.when(own.isNull(), global_block).otherwise(root & (F.size(own["allow"]) == 0)).alias("blocked"),
             F.when(own.isNull(), F.lit(False)).otherwise(~root & F.exists(own["disallow"], lambda d: d != "")).alias("partial"),
             F.struct(F.coalesce(own["allow"], no_rules).alias("allow"), F.coalesce(own["disallow"], no_rules).alias("disallow")).alias("rules"),
         )
 
-    return F.transform(F.array(*[F.lit(b) for b in R.BOTS]), policy)
+    def looked_up(agents: Column) -> Column:
+        return F.transform(F.array(*[F.lit(b.lower()) for b in R.BOTS]), lambda bot: F.get(groups, (F.array_position(agents, bot) - 1).cast("int")))
+
+    return F.transform(let(F.transform(groups, lambda g: F.lower(g["userAgent"])), looked_up), policy)
 
 
 def tier(there: Column, global_block: Column, blocked: Column, partial: Column) -> tuple[Column, Column]:
@@ -140,10 +144,10 @@ def crawl_policy(observed: DataFrame, strict: bool = False) -> DataFrame:
     body, more = truncated_body(F.when(there, F.col("body")))
     rows = parse(observed.withColumns({"exists": there, "truncated": F.coalesce(more, F.lit(False)), "body": body}))
     if strict:
-        rows = rows.withColumn("groups", shared_rules(F.col("groups")))
+        rows = staged(rows, {"groups": shared_rules(F.col("groups"))})
     block, allow = flags(F.col("groups"), strict)
     rows = rows.withColumns({"global_block": block, "global_allow": allow})
-    rows = rows.withColumn("policies", policies(F.col("groups"), F.col("global_block"), strict))
+    rows = staged(rows, {"policies": policies(F.col("groups"), F.col("global_block"), strict)})
     count = lambda name: F.size(F.filter("policies", lambda p: p[name])).cast("long")
     rows = rows.withColumns({"blocked": count("blocked"), "partial": count("partial")})
     name, friendly = tier(F.col("exists"), F.col("global_block"), F.col("blocked"), F.col("partial"))

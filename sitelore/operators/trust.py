@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import refdata as R
-from ..functions.text import col, contains_any, elapsed_days, first_text, to_time
+from ..functions.text import col, contains_any, elapsed_days, first_text, staged, to_time
 
 #: Keys of a registration record that a verdict reads.
 CREATED_KEYS, REGISTRAR_KEYS = ("creationDate", "created", "domainRegistered"), ("registrar", "registrarName")
@@ -56,7 +56,8 @@ def trust_score(inputs: DataFrame, whois: DataFrame, dns: DataFrame, as_of: Colu
     a probe that failed is a missing row.
     """
     found = inputs.select("domain").distinct().join(whois.select("domain", "whois"), "domain", "left").join(dns.select("domain", "has_a", "mx"), "domain", "left")
-    days, age, label = age_score(to_time(_key(F.col("whois"), *CREATED_KEYS)), as_of)
+    found = staged(found, {"_created": to_time(_key(F.col("whois"), *CREATED_KEYS))})
+    days, age, label = age_score(F.col("_created"), as_of)
     tld, tld_points = tld_score("domain")
     dns_points, has_mx, mx = dns_score(F.coalesce("has_a", F.lit(False)), F.col("mx"))
     registrar, registrar_points = registrar_score(_key(F.col("whois"), *REGISTRAR_KEYS))
