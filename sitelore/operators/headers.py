@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import refdata as R
-from ..functions.text import clipped, contains_any, empty, first_text, notes
+from ..functions.text import clipped, contains_any, empty, first_text, let, notes, staged
+from . import normalize as N
 
 #: Analysis, header, most points; in the order of totals and warnings.
 ANALYSES = (
@@ -110,26 +111,62 @@ def long_form(audited: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "e.analysis", "e.a.present", "e.a.value", "e.a.score", F.col("e.a.maxScore").alias("max_score"), "e.a.notes")
 
 
-def follow_redirects(hops: DataFrame, starts: DataFrame) -> DataFrame:
-    """``hops(url, status, location)``: final url, redirects and error of a walk from each ``starts(url)``.
+def resolved(base: Column, location: Column) -> Column:
+    """The URL that a ``Location`` means at ``base``: absolute, with another host or path, relative to the folder, or only a query or mark.
 
-    A hop with a 3xx status and a location leads on; the location must have an
-    allowed scheme and port; after three redirects a fourth is too many.
+    Scheme and host are in lower case, a port that is the scheme's own and dot segments are gone, an empty path is ``/``.
     """
-    return hops.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(start, url, redirects, error) AS (
-            SELECT url, url, 0, CAST(NULL AS STRING) FROM {{starts}}
-            UNION ALL
-            SELECT w.start, h.location, w.redirects + 1,
-                   CASE WHEN NOT h.location RLIKE '^(?i)https?://' THEN concat('Refused redirect to ', regexp_extract(h.location, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1), ' scheme')
-                        WHEN NOT coalesce(nullif(regexp_extract(h.location, '^(?i)https?://[^/?#:]*:([0-9]+)', 1), ''), '80') IN ({", ".join(repr(p) for p in R.PORTS if p)})
-                             THEN concat('Refused redirect to port ', regexp_extract(h.location, '^(?i)https?://[^/?#:]*:([0-9]+)', 1))
-                        WHEN w.redirects + 1 > {R.MAX_REDIRECTS} THEN 'Too many redirects (max {R.MAX_REDIRECTS})' END
-            FROM walk w JOIN {{hops}} h ON h.url = w.url
-            WHERE h.status BETWEEN 300 AND 399 AND coalesce(h.location, '') <> '' AND w.error IS NULL AND w.redirects <= {R.MAX_REDIRECTS}
-        )
-        SELECT start, max_by(url, redirects) AS final_url, CAST(max(redirects) AS INT) AS redirects, max_by(error, redirects) AS error FROM walk GROUP BY start
-        """,
-        hops=hops, starts=starts,
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    bare = F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.when(bare.rlike("^[A-Za-z][A-Za-z0-9+.-]*://[^/]*$"), F.concat(bare, F.lit("/"))).otherwise(F.regexp_extract(bare, "^(.*/)", 1))
+    whole = (
+        F.when(location.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), location).when(location.startswith("//"), F.concat(F.split_part(base, F.lit(":"), F.lit(1)), F.lit(":"), location))
+        .when(location.startswith("/"), F.concat(origin, location)).when(location.startswith("?"), F.concat(bare, location))
+        .when(location.startswith("#"), F.concat(F.regexp_extract(base, "^([^#]*)", 1), location)).otherwise(F.concat(folder, location))
     )
+    return let(whole, _normal)
+
+
+def _normal(url: Column) -> Column:
+    head = F.regexp_replace(F.lower(F.regexp_extract(url, r"^((?i)https?://[^/?#]*)", 1)), r"^(http://[^:]*):80$|^(https://[^:]*):443$", "$1$2")
+    path, rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.regexp_extract(url, r"^[^?#]*(.*)$", 1)
+    kept = F.aggregate(
+        F.split(path, "/"), F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.array_append(acc, x)),
+    )
+    plain = F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit("")))).otherwise(path)
+    return F.when(head == "", url).otherwise(F.concat(head, F.when(plain == "", F.lit("/")).otherwise(plain), rest))
+
+
+def follow_redirects(hops: DataFrame, starts: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """``hops(url, status, location)``: start, final url, redirects and error of a walk from each different ``starts(url)``.
+
+    A hop with a 3xx status and a location, which may be relative, leads on; the
+    target must have an allowed scheme and port, and, as the start, a host that isn't
+    private: by its address, by name, or, with ``hosts(host, safe)``, by what its
+    name resolves to (a name that isn't listed doesn't).  After three redirects a
+    fourth is too many.  Each step is a left join with the hops, one by URL (the
+    least status and location), so there is no bound on the number of walks.
+    """
+    one = hops.groupBy("url").agg(F.min(F.struct("status", "location")).alias("_hop"))
+    walk = starts.select(F.col("url").alias("start")).distinct().select("start", F.col("start").alias("url"), F.lit(0).alias("redirects"), F.lit(None).cast("string").alias("error"))
+    for step in range(R.MAX_REDIRECTS + 1):
+        walk = staged(walk, {"_host": F.regexp_replace(N.host(F.col("url")), r"[\[\]]", "")})
+        unsafe = (F.col("_host") == "localhost") | N.private_address(F.col("_host"))
+        if hosts is not None:
+            walk = walk.join(hosts.select(F.col("host").alias("_host"), F.col("safe").alias("_safe")), "_host", "left")
+            unsafe = unsafe | (~N.is_address(F.col("_host")) & ~F.coalesce("_safe", F.lit(False)))
+        refused = F.concat(F.lit("Refused: hostname "), F.col("_host"), F.lit(" resolves to a private address"))
+        walk = walk.select("start", "url", "redirects", F.coalesce("error", F.when((F.col("redirects") == step) & unsafe, refused)).alias("error"))
+        joined = walk.join(one, "url", "left")
+        leads = F.col("error").isNull() & (F.col("redirects") == step) & F.col("_hop.status").between(300, 399) & (F.coalesce("_hop.location", F.lit("")) != "")
+        joined = staged(joined, {"_to": F.when(leads, resolved(F.col("url"), F.col("_hop.location")))})
+        joined = staged(joined, {"_port": N.port(F.col("_to")), "_named": N.host(F.col("_to")) != ""})
+        to, port = F.col("_to"), F.col("_port")
+        error = (
+            F.when(~to.rlike("^(?i)https?:"), F.concat(F.lit("Refused redirect to "), F.regexp_extract(to, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), F.lit(" scheme")))
+            .when(~F.col("_named") | port.isNull(), "Invalid redirect Location header").when(~port.isin(*R.PORTS), F.concat(F.lit("Refused redirect to port "), port))
+            .when(F.lit(step == R.MAX_REDIRECTS), f"Too many redirects (max {R.MAX_REDIRECTS})")
+        )
+        walk = joined.select("start", F.coalesce(to, F.col("url")).alias("url"), (F.col("redirects") + F.when(to.isNotNull(), 1).otherwise(0)).cast("int").alias("redirects"), F.when(to.isNotNull(), error).otherwise(F.col("error")).alias("error"))
+    return walk.select("start", F.col("url").alias("final_url"), "redirects", "error")

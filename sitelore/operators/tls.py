@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import refdata as R
-from ..functions.text import contains_any, elapsed_days, empty, first_text, iso, notes, to_time
+from ..functions.text import contains_any, elapsed_days, empty, first_text, iso, notes, staged, to_time
+from ..scratch import release, written
 
 _COMPONENTS = ("chain_valid", "trusted_ca", "not_expired", "strong_crypto", "modern_tls")
 
@@ -74,8 +75,9 @@ def score(observed: DataFrame, as_of: Column) -> DataFrame:
     A row without a certificate (null subject, issuer and root) has ``error`` set
     and no score.
     """
-    until = to_time(F.col("valid_to")) if dict(observed.dtypes)["valid_to"] == "string" else F.col("valid_to")
-    since = to_time(F.col("valid_from")) if dict(observed.dtypes)["valid_from"] == "string" else F.col("valid_from")
+    kinds = dict(observed.dtypes)
+    observed = staged(observed, {f"_{n}": to_time(F.col(n)) if kinds[n] == "string" else F.col(n) for n in ("valid_to", "valid_from")})
+    until, since = F.col("_valid_to"), F.col("_valid_from")
     own = self_signed(F.col("subject"), F.col("issuer"))
     present = F.col("subject").isNotNull() | F.col("issuer").isNotNull() | F.col("root").isNotNull()
     facts = observed.withColumns({
@@ -83,6 +85,7 @@ def score(observed: DataFrame, as_of: Column) -> DataFrame:
         "subject_name": F.coalesce(first_text(F.col("subject")["CN"], F.col("subject")["O"]), F.col("domain")), "issuer_name": F.coalesce(first_text(F.col("issuer")["O"], F.col("issuer")["CN"]), F.lit("unknown")),
         "root_ca": root_ca(F.col("root")), "san": san_list(F.col("subjectaltname")), "valid_from_iso": iso(since), "valid_to_iso": iso(until),
     })
+    facts = facts.drop("_valid_to", "_valid_from")
     parts = components(F.coalesce("authorized", F.lit(False)), F.col("auth_error"), F.col("is_self_signed"), F.col("trusted"), F.col("days_remaining"), F.col("cipher")["name"], F.col("protocol"))
     out = facts.withColumns({f"{n}_score": parts[n][0].cast("int") for n in _COMPONENTS})
     out = out.withColumn("warnings", notes(*[w for n in _COMPONENTS for w in parts[n][1]]))
@@ -90,18 +93,25 @@ def score(observed: DataFrame, as_of: Column) -> DataFrame:
     return out.withColumn("tier", tier(F.col("days_remaining"), F.col("is_self_signed"), F.col("auth_error"), F.col("trusted"), F.col("score")))
 
 
-def walk_chains(edges: DataFrame, leaves: DataFrame, most: int = 64) -> DataFrame:
-    """``edges(fingerprint, issuer_fingerprint)``: leaf, depth and last certificate of each chain; a certificate met again ends it."""
-    return edges.sparkSession.sql(
-        """
-        WITH RECURSIVE walk(leaf, cur, depth, seen) AS (
-            SELECT fingerprint, fingerprint, 1, array(fingerprint) FROM {leaves}
-            UNION ALL
-            SELECT w.leaf, e.issuer_fingerprint, w.depth + 1, concat(w.seen, array(e.issuer_fingerprint))
-            FROM walk w JOIN {edges} e ON e.fingerprint = w.cur
-            WHERE e.issuer_fingerprint IS NOT NULL AND NOT array_contains(w.seen, e.issuer_fingerprint) AND w.depth < {most}
-        )
-        SELECT leaf, CAST(max(depth) AS INT) AS depth, max_by(cur, depth) AS last FROM walk GROUP BY leaf
-        """,
-        edges=edges, leaves=leaves, most=most,
-    )
+def walk_chains(edges: DataFrame, leaves: DataFrame, levels: int = 6) -> DataFrame:
+    """``edges(fingerprint, issuer_fingerprint)``: leaf, depth and last certificate of each chain; a certificate met again ends it.
+
+    Chains go up ``levels`` certificates in one plan; while any goes on, what is
+    reached is written to the shared folder and goes up again.  So neither the
+    number of chains nor their length has a bound.  Walks that have ended are
+    spread by their leaves.
+    """
+    up = edges.select(F.col("fingerprint").alias("_key"), F.col("issuer_fingerprint").alias("_next")).where("_key is not null and _next is not null").distinct()
+    walk = leaves.select(F.col("fingerprint").alias("leaf")).where("leaf is not null").distinct().select("leaf", F.col("leaf").alias("cur"), F.array("leaf").alias("seen"), F.lit(True).alias("going"))
+    before = None
+    while True:
+        for _ in range(levels):
+            keyed = walk.withColumn("_key", F.when(F.col("going"), F.col("cur")).otherwise(F.concat(F.lit("\0"), F.col("leaf"))))
+            walk = keyed.join(up, "_key", "left").withColumn("going", F.coalesce(~F.array_contains("seen", F.col("_next")), F.lit(False)))
+            walk = walk.select("leaf", F.when(F.col("going"), F.col("_next")).otherwise(F.col("cur")).alias("cur"), F.when(F.col("going"), F.array_append("seen", F.col("_next"))).otherwise(F.col("seen")).alias("seen"), "going")
+        walk = written(walk, "chains")
+        release(before)
+        if walk.where("going").isEmpty():
+            break
+        before = walk
+    return walk.groupBy("leaf").agg(F.max(F.struct(F.size("seen").alias("depth"), "cur")).alias("end")).select("leaf", "end.depth", F.col("end.cur").alias("last"))

@@ -48,6 +48,8 @@ ISSUERS = ["DigiCert Inc", "Let''s Encrypt".replace("''", "'"), "Acme Internal",
 SANS = ["DNS:a.org, dns:b.org,,IP Address:1.2.3.4", None, ",".join(f"DNS:h{i}.net" for i in range(25)), " , "]
 CERTIFICATES = f"""
 SELECT o_orderkey AS k, 'd' || CAST(o_orderkey AS STRING) || '.com' AS domain, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate END AS valid_to,
+       CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate - INTERVAL 90 DAY END AS valid_from, CASE WHEN o_orderkey % 6 <> 0 THEN 'AB:' || CAST(o_orderkey AS STRING) END AS fingerprint256,
+       CASE WHEN o_orderkey % 8 <> 0 THEN '0' || CAST(o_orderkey AS STRING) END AS serial_number, CAST(o_orderkey % 4 AS INT) + 1 AS chain_depth,
        CASE WHEN o_orderkey % 19 = 0 THEN 'self' ELSE 'd' || CAST(o_orderkey AS STRING) || '.com' END AS subject_cn,
        CASE WHEN o_orderkey % 38 = 0 THEN NULL WHEN o_orderkey % 19 = 0 THEN 'self' ELSE 'Issuing CA' END AS issuer_cn,
        CASE WHEN o_orderkey % 38 = 19 THEN 'O' ELSE NULL END AS subject_o,
@@ -82,7 +84,8 @@ HTTP = "SELECT page_id, url" + "".join(f", {_choose('page_id', m, v)} AS {c}" fo
 
 HOPS = """
 SELECT 'https://p' || CAST(page_id AS STRING) || '.net/' AS url, CASE WHEN page_id % 5 = 0 THEN 200 ELSE 302 END AS status,
-       CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 35 = 1 THEN 'ftp://p.net/' WHEN page_id % 35 = 6 THEN 'https://p.net:22/' ELSE 'https://p' || CAST(page_id - 1 AS STRING) || '.net/' END AS location
+       CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 35 = 1 THEN 'ftp://p.net/' WHEN page_id % 35 = 6 THEN 'https://p.net:22/' WHEN page_id % 35 = 11 THEN 'http://10.0.0.5/in'
+       WHEN page_id % 35 = 16 THEN '/login?next=1' WHEN page_id % 35 = 21 THEN '//P' || CAST(page_id - 1 AS STRING) || '.net:443' WHEN page_id % 35 = 31 THEN 'x/./z/../y' ELSE 'https://p' || CAST(page_id - 1 AS STRING) || '.net/' END AS location
 FROM pages"""
 
 _B = R.BOTS
