@@ -10,7 +10,7 @@ from ..operators import traffic as A
 from . import verdicts
 from .fixtures import ctes, view
 
-_TTL, _WINDOW, _MOST = 14_400, 3_600, 2
+_TTL, _WINDOW, _MOST, _ENTRIES = 14_400, 3_600, 2, 20
 
 
 def _requests(spark, sf_dir):
@@ -27,7 +27,8 @@ def cache_hits(spark, sf_dir):
 
 
 def cache_fifo(spark, sf_dir):
-    return A.fifo_trace(_requests(spark, sf_dir), "user_id", _TTL, most=100)
+    """One cache for each endpoint, small enough to be full."""
+    return A.fifo_trace(_requests(spark, sf_dir), "user_id", _TTL, most=_ENTRIES, cache="path")
 
 
 def rate_limit(spark, sf_dir):
@@ -108,6 +109,15 @@ ORACLES = {
     "cache_misses": f"{_TRACE} SELECT user_id, (SELECT count(*) FROM walk w WHERE w.user_id = r.user_id) AS misses, count(*) AS requests FROM requests r GROUP BY user_id",
     "cache_hits": f"""{_TRACE}, a AS (SELECT r.request_id, r.user_id, epoch_us(r.ts) AS t, w.t AS a FROM requests r ASOF JOIN walk w ON r.user_id = w.user_id AND epoch_us(r.ts) >= w.t)
 SELECT request_id, t > a OR request_id <> min(request_id) OVER (PARTITION BY user_id, t) AS hit, a AS checked_at_us FROM a""",
+    # step by step: a cache's entries in their order of insertion, as a list
+    "cache_fifo": f"""{ctes("requests")}, r AS (SELECT path, request_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY path ORDER BY ts, request_id) AS i FROM requests),
+walk(path, i, request_id, k, hit, entries) AS (
+  SELECT path, i, request_id, user_id, false, [{{'k': user_id, 'x': t + {_TTL * 1_000_000}}}] FROM r WHERE i = 1
+  UNION ALL
+  SELECT path, i, request_id, k, hit, CASE WHEN hit THEN entries WHEN len(others) = {_ENTRIES} THEN list_append(others[2:], {{'k': k, 'x': t + {_TTL * 1_000_000}}}) ELSE list_append(others, {{'k': k, 'x': t + {_TTL * 1_000_000}}}) END
+  FROM (SELECT r.path, r.i, r.request_id, r.user_id AS k, r.t, w.entries, len(list_filter(w.entries, lambda e: e.k = r.user_id AND r.t <= e.x)) > 0 AS hit, list_filter(w.entries, lambda e: e.k <> r.user_id) AS others
+    FROM walk w JOIN r ON r.path = w.path AND r.i = w.i + 1))
+SELECT request_id, CAST(k AS VARCHAR) AS key, hit FROM walk""",
     "rate_limit": f"{_LIMITED} SELECT CAST(passed AS INTEGER) AS status, count(*) AS n, CAST(sum(request_id) AS BIGINT) AS ids FROM l GROUP BY passed",
     "request_log": f"{_LIMITED} SELECT 'request' AS evt, request_id, path, CAST(passed AS INTEGER) AS status, passed = 200 AS settled, ip, substr(ua, 1, 120) AS ua, duration_ms, epoch_us(ts) AS ts_us FROM l WHERE path IN ({_PAID})",
     "route_status": f"{_LIMITED}, p AS (SELECT * REPLACE (CASE WHEN request_id % 50 = 0 THEN '/health' ELSE path END AS path) FROM l) SELECT path, {_ROUTE} AS status, count(*) AS n FROM p GROUP BY 1, 2",
