@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import refdata as R
 from ..functions.text import to_time
+from ..operators import bodies as Z
 from ..operators import headers as H
 from ..operators import normalize as N
 from ..operators import robots as B
@@ -65,26 +66,22 @@ def trust_details(spark, sf_dir):
 
 
 def verdict_json(spark, sf_dir):
-    """The four responses as JSON text, nulls kept."""
-    scored = scored_trust(spark, sf_dir)
-    audited = H.audit(_http(spark, sf_dir))
-    policy = B.crawl_policy(view(spark, sf_dir, "robots"))
-    certs = scored_tls(spark, sf_dir)
-    text = lambda kind, key, body: (F.lit(kind).alias("kind"), F.col(key).alias("key"), F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))
-    header_body = F.struct("url", "grade", "score", F.col("max_score").alias("maxScore"), F.struct(*[F.col(n) for n, _, _ in H.ANALYSES]).alias("analysis"), "warnings")
-    robots_body = F.struct(
-        "domain", "exists", "tier", F.col("friendly").alias("aiFriendly"),
-        F.when(F.col("exists"), F.struct(F.size("groups").alias("userAgentGroups"), F.size("sitemaps").alias("sitemaps"), F.col("raw_lines").alias("rawLines"), "truncated", F.col("has_errors").alias("hasParseErrors"))).alias("summary"),
-        F.when(F.col("exists"), F.struct(F.col("global_block").alias("globalBlock"), F.col("global_allow").alias("globalAllow"), F.lit(len(R.BOTS)).alias("knownBotsChecked"), F.col("blocked").alias("knownBotsBlocked"), F.col("partial").alias("knownBotsPartial"), "policies")).alias("ai"),
-        "sitemaps", F.col("groups").alias("userAgents"), F.struct("status").alias("response"),
-    )
-    tls_body = F.struct("domain", "score", F.lit(100).alias("maxScore"), "tier", "warnings", F.struct(F.col("subject_name").alias("subject"), F.col("issuer_name").alias("issuer"), F.col("valid_from_iso").alias("validFrom"), F.col("valid_to_iso").alias("validTo"), F.col("days_remaining").alias("daysRemaining"), "san", F.col("is_self_signed").alias("isSelfSigned")).alias("certificate"))
+    """The four responses as JSON text, nulls kept; every seventh comes from the cache."""
+    at = lambda text: F.lit(text).cast("timestamp")
+    audited = H.audit(_http(spark, sf_dir).withColumns({"final_url": F.col("url"), "hostname": N.host(F.col("url")), "status": F.lit(200), "redirects": (F.col("page_id") % 4).cast("int")}))
+    policy, certs = B.crawl_policy(view(spark, sf_dir, "robots")), scored_tls(spark, sf_dir).where("error is null")
+    number = lambda c, pattern: F.regexp_extract(c, pattern, 1).cast("long") % 7 == 0
     return (
-        scored.select(*text("trust", "domain", T.verdict(scored))).unionByName(audited.select(*text("headers", "url", header_body)))
-        .unionByName(policy.select(*text("robots", "domain", robots_body))).unionByName(certs.where("error is null").select(*text("tls", "domain", tls_body)))
+        Z.body("trust", scored_trust(spark, sf_dir), at(TRUST_AS_OF), number("domain", "^d([0-9]+)")).unionByName(Z.body("tls", certs, at(TLS_AS_OF), F.col("k") % 7 == 0))
+        .unionByName(Z.body("headers", audited, at(TLS_AS_OF), F.col("page_id") % 7 == 0)).unionByName(Z.body("robots", policy, at(TLS_AS_OF), number("domain", "^p([0-9]+)")))
     )
 
 
+def service_documents(spark, sf_dir):
+    """The free paths' answers: root, health check and description."""
+    return Z.free_answers(spark, "domain intelligence", "https://api.example.org", F.lit(TRUST_AS_OF).cast("timestamp"))
+
+
 # Written apart from the operators: days, points and tier of the derived domains.
 _TRUST = f"""{ctes("domains")}, a AS (
   SELECT *, CASE WHEN created IS NULL THEN NULL ELSE CAST(floor((epoch_us(TIMESTAMP '{TRUST_AS_OF}') - epoch_us(created)) / 86400000000.0) AS INTEGER) END AS days, '.' || split_part(domain, '.', 2) AS tld FROM domains),
@@ -103,8 +100,8 @@ def _certificates(spark, sf_dir) -> DataFrame:
     name = lambda cn, o: F.struct(F.col(cn).alias("CN"), F.col(o).alias("O"))
     missing = F.col("k") % 101 == 0
     return c.select(
-        "k", "domain", F.when(~missing, name("subject_cn", "subject_o")).alias("subject"), F.when(~missing, name("issuer_cn", "issuer_o")).alias("issuer"), F.when(~missing, name("root_cn", "root_o")).alias("root"),
-        F.lit(None).cast("string").alias("valid_from"), F.date_format(F.col("valid_to").cast("timestamp"), "MMM  d HH:mm:ss yyyy 'GMT'").alias("valid_to"), F.col("san").alias("subjectaltname"), "authorized", "auth_error", "protocol",
+        "k", "domain", "fingerprint256", "serial_number", "chain_depth", F.when(~missing, name("subject_cn", "subject_o")).alias("subject"), F.when(~missing, name("issuer_cn", "issuer_o")).alias("issuer"), F.when(~missing, name("root_cn", "root_o")).alias("root"),
+        F.date_format(F.col("valid_from").cast("timestamp"), "MMM  d HH:mm:ss yyyy 'GMT'").alias("valid_from"), F.date_format(F.col("valid_to").cast("timestamp"), "MMM  d HH:mm:ss yyyy 'GMT'").alias("valid_to"), F.col("san").alias("subjectaltname"), "authorized", "auth_error", "protocol",
         F.when(F.col("cipher").isNotNull(), F.struct(F.col("cipher").alias("name"), F.col("protocol").alias("version"))).alias("cipher"),
     )
 
@@ -295,7 +292,7 @@ counts AS (SELECT domain, CAST(count_if(blocked) AS BIGINT) AS blocked, CAST(cou
 QUERIES = {
     f.__name__: f
     for f in (
-        trust_score, domain_age_score, tld_score, dns_presence, registrar_score, trust_details, verdict_json, tls_score, tls_tier, tls_warnings, tls_errors, ca_trust, self_signed, san_parse, cert_facts, cipher_weak, cert_chain_walk,
+        trust_score, domain_age_score, tld_score, dns_presence, registrar_score, trust_details, verdict_json, service_documents, tls_score, tls_tier, tls_warnings, tls_errors, ca_trust, self_signed, san_parse, cert_facts, cipher_weak, cert_chain_walk,
         header_total, header_grade, header_warnings, redirect_follow, robots_exists, robots_groups, robots_sitemaps, robots_global, ai_bot_policies, robots_summary, robots_tier, robots_fetch_fallback, robots_truncate,
     )
 } | {query: _one(name) for query, name in _SINGLE.items()}
@@ -325,11 +322,13 @@ SELECT leaf, CAST(max(depth) AS INTEGER) AS depth, arg_max(cur, depth) AS last_c
     "header_total": f"{_ALL} SELECT page_id, CAST(sum(score) AS INTEGER) AS score, CAST(sum(most) AS INTEGER) AS max_score, CAST(count_if(present) AS BIGINT) AS n_present FROM long GROUP BY page_id",
     "header_grade": f"{_ALL}, t AS (SELECT page_id, url, CAST(sum(score) AS INTEGER) AS score FROM long GROUP BY page_id, url) SELECT *, CASE WHEN score >= 90 THEN 'A+' WHEN score >= 80 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 50 THEN 'C' WHEN score >= 30 THEN 'D' ELSE 'F' END AS grade FROM t",
     "header_warnings": f"{_ALL}, w AS (SELECT page_id, place, CASE WHEN NOT present THEN ['missing_' || analysis] WHEN notes = '' THEN [] ELSE list_transform(string_split(notes, '|'), lambda x: analysis || ':' || x) END AS l FROM long) SELECT page_id, array_to_string(flatten(list(l ORDER BY place)), '|') AS warnings FROM w GROUP BY page_id",
-    "redirect_follow": f"""{ctes("hops")}, walk(start, url, redirects, error) AS (
-  SELECT url, url, 0, CAST(NULL AS VARCHAR) FROM hops
+    "redirect_follow": f"""{ctes("hops")}, targets AS (
+  SELECT url, status, CASE WHEN location = '/login?next=1' THEN url || 'login?next=1' WHEN location = 'x/./z/../y' THEN url || 'x/y' WHEN starts_with(location, '//') THEN 'https:' || lower(split_part(location, ':', 1)) || '/' ELSE location END AS location FROM hops),
+walk(start, url, redirects, error) AS (
+  SELECT DISTINCT url, url, 0, CAST(NULL AS VARCHAR) FROM hops
   UNION ALL SELECT w.start, h.location, w.redirects + 1, CASE WHEN NOT starts_with(h.location, 'http') THEN 'Refused redirect to ' || split_part(h.location, ':', 1) || ': scheme'
-      WHEN contains(h.location, ':22/') THEN 'Refused redirect to port 22' WHEN w.redirects = 3 THEN 'Too many redirects (max 3)' END
-  FROM walk w JOIN hops h ON h.url = w.url WHERE h.status = 302 AND w.error IS NULL AND w.redirects <= 3)
+      WHEN contains(h.location, ':22/') THEN 'Refused redirect to port 22' WHEN w.redirects = 3 THEN 'Too many redirects (max 3)' WHEN contains(h.location, '//10.') THEN 'Refused: hostname 10.0.0.5 resolves to a private address' END
+  FROM walk w JOIN targets h ON h.url = w.url WHERE h.status = 302 AND w.error IS NULL AND w.redirects <= 3)
 SELECT start, arg_max(url, redirects) AS final_url, CAST(max(redirects) AS INTEGER) AS redirects, max(error) AS error FROM walk GROUP BY start""",
     "robots_exists": f"{ctes('robots')} SELECT domain, status, status = 200 AS \"exists\", CASE WHEN status = 200 THEN length(body) ELSE 0 END AS body_chars FROM robots",
     "robots_groups": f"{_ROBOTS} SELECT domain, gid, agent, array_to_string(allow, '|') AS allow, array_to_string(disallow, '|') AS disallow, crawl_delay FROM groups",
@@ -346,6 +345,47 @@ SELECT s.domain, CASE WHEN s.error IS NULL THEN 'https' ELSE 'http' END AS schem
 }
 
 
+def _json_oracle() -> str:
+    """The four bodies from the CTEs of the flat oracles."""
+    meta = lambda at, cached: f"{{'checkedAt': strftime(TIMESTAMP '{at}', '%Y-%m-%dT%H:%M:%S.000Z'), 'apiVersion': '{R.API_VERSION}', 'paidWith': '{R.PAID_WITH}', 'cached': {cached}}}"
+    stamp = lambda c: f"strftime({c}, '%Y-%m-%dT%H:%M:%S.000Z')"
+    trust = f"""{_TRUST}, t AS (SELECT *, CASE WHEN score >= 75 THEN 'TRUSTED' WHEN score >= 50 THEN 'MODERATE' WHEN score >= 25 THEN 'CAUTION' ELSE 'HIGH_RISK' END AS tier FROM f)
+SELECT 'trust' AS kind, domain AS key, CAST(to_json({{'domain': domain, 'score': score, 'maxScore': 100, 'tier': tier,
+  'breakdown': {{'domainAge': age_score, 'tld': tld_score, 'dnsPresence': dns_score, 'registrar': registrar_score}},
+  'details': {{'age': {{'days': age_days, 'label': age_label, 'created': CASE WHEN k % 3 = 0 THEN {_DATE} END, 'expires': CAST(NULL AS VARCHAR)}}, 'tld': tld,
+    'dns': {{'hasARecord': has_a, 'hasMxRecord': has_mx, 'mxRecords': CASE WHEN has_mx THEN ['mx1.' || domain, 'mx2.' || domain, 'mx3.' || domain] ELSE CAST([] AS VARCHAR[]) END}}, 'registrar': shown}},
+  'meta': {meta(TRUST_AS_OF, "k % 7 = 0")}}}) AS VARCHAR) AS body FROM t"""
+    tls = f"""{_TLS}, t AS (SELECT *, CASE WHEN days < 0 THEN 'EXPIRED' WHEN own THEN 'UNTRUSTED' WHEN auth_error IS NOT NULL THEN 'INVALID' WHEN NOT trusted THEN 'UNTRUSTED' WHEN days < 7 THEN 'EXPIRING' WHEN score < 70 THEN 'WEAK' ELSE 'VALID' END AS tier,
+  list_filter(list_transform(string_split(coalesce(san, ''), ','), lambda x: regexp_replace(trim(x), '^DNS:', '', 'i')), lambda x: x <> '')[1:20] AS names FROM f)
+SELECT 'tls' AS kind, domain AS key, CAST(to_json({{'domain': domain, 'score': score, 'maxScore': 100, 'tier': tier,
+  'breakdown': {{'chainValid': chain_valid_score, 'trustedCa': trusted_ca_score, 'notExpired': not_expired_score, 'strongCrypto': strong_crypto_score, 'modernTls': modern_tls_score}}, 'warnings': w,
+  'certificate': {{'subject': coalesce(nullif(subject_cn, ''), nullif(subject_o, ''), domain), 'issuer': coalesce(nullif(issuer_o, ''), nullif(issuer_cn, ''), 'unknown'), 'validFrom': {stamp("valid_from")}, 'validTo': {stamp("valid_to")},
+    'daysRemaining': days, 'san': names, 'fingerprint256': coalesce(fingerprint256, ''), 'serialNumber': coalesce(serial_number, ''), 'isSelfSigned': own}},
+  'chain': {{'depth': chain_depth, 'valid': auth_error IS NULL, 'trusted': trusted, 'rootCa': root_ca}},
+  'connection': {{'protocol': protocol, 'cipher': CASE WHEN cipher IS NOT NULL THEN {{'name': cipher, 'version': protocol}} END, 'authorized': authorized, 'authError': auth_error}},
+  'meta': {meta(TLS_AS_OF, "k % 7 = 0")}}}) AS VARCHAR) AS body FROM t"""
+    analyses = ", ".join(f"'{n}': any_value(s) FILTER (analysis = '{n}')" for n in _SQL)
+    headers = f"""{_ALL}, h AS (SELECT page_id, url, score, most, place, analysis, CASE WHEN notes = '' THEN [] ELSE string_split(notes, '|') END AS n, present, value FROM long),
+g AS (SELECT page_id, url, CAST(sum(score) AS INTEGER) AS total, CAST(sum(most) AS INTEGER) AS top,
+    flatten(list(CASE WHEN NOT present THEN ['missing_' || analysis] ELSE list_transform(n, lambda x: analysis || ':' || x) END ORDER BY place)) AS w, {{{analyses}}} AS a
+  FROM (SELECT *, {{'present': present, 'value': value, 'score': score, 'maxScore': most, 'notes': n}} AS s FROM h) GROUP BY page_id, url)
+SELECT 'headers' AS kind, url AS key, CAST(to_json({{'url': url, 'hostname': lower(regexp_extract(url, '^https?://([^/?#:]*)', 1, 'i')),
+  'grade': CASE WHEN total >= 90 THEN 'A+' WHEN total >= 80 THEN 'A' WHEN total >= 70 THEN 'B' WHEN total >= 50 THEN 'C' WHEN total >= 30 THEN 'D' ELSE 'F' END, 'score': total, 'maxScore': top, 'analysis': a, 'warnings': w,
+  'response': {{'status': 200, 'redirects': page_id % 4}}, 'meta': {meta(TLS_AS_OF, "page_id % 7 = 0")}}}) AS VARCHAR) AS body FROM g"""
+    robots = f"""{_ROBOTS}, p AS (SELECT r.page_id, r.domain, r.status, f.global_block, f.global_allow, c.blocked, c.partial,
+    (SELECT coalesce(list({{'userAgent': agent, 'allow': allow, 'disallow': disallow, 'crawlDelay': crawl_delay}} ORDER BY gid), []) FROM groups g WHERE g.domain = r.domain) AS gs,
+    (SELECT coalesce(list(v ORDER BY pos), []) FROM rules x WHERE x.domain = r.domain AND d = 'sitemap' AND v <> '') AS maps, (SELECT count(*) FROM lines l WHERE l.domain = r.domain) AS n,
+    (SELECT coalesce(bool_or(t <> '' AND NOT contains(t, ':')), false) FROM clean l WHERE l.domain = r.domain) AS bad,
+    (SELECT list({{'bot': p.bot, 'blocked': j.blocked, 'partial': j.partial, 'rules': {{'allow': coalesce(p.allow, []), 'disallow': coalesce(p.disallow, [])}}}} ORDER BY list_position([{_LIST(R.BOTS)}], p.bot)) FROM policy p JOIN judged j ON p.domain = j.domain AND p.bot = j.bot WHERE p.domain = r.domain) AS pol
+  FROM robots r LEFT JOIN flags f ON f.domain = r.domain LEFT JOIN counts c ON c.domain = r.domain),
+q AS (SELECT *, status = 200 AS there, CASE WHEN status <> 200 THEN 'NO_ROBOTS_TXT' WHEN global_block AND blocked = 24 THEN 'BLOCKED_ALL' WHEN blocked > 12 THEN 'BLOCKED_AI' WHEN blocked > 0 OR partial > 8 THEN 'SELECTIVE' ELSE 'OPEN' END AS tier FROM p)
+SELECT 'robots' AS kind, domain AS key, CAST(to_json({{'domain': domain, 'exists': there, 'tier': tier, 'aiFriendly': tier NOT IN ('BLOCKED_ALL', 'BLOCKED_AI'),
+  'summary': CASE WHEN there THEN {{'userAgentGroups': len(gs), 'sitemaps': len(maps), 'rawLines': n, 'truncated': false, 'hasParseErrors': bad}} END,
+  'ai': CASE WHEN there THEN {{'globalBlock': global_block, 'globalAllow': global_allow, 'knownBotsChecked': 24, 'knownBotsBlocked': blocked, 'knownBotsPartial': partial, 'policies': pol}} END,
+  'sitemaps': maps, 'userAgents': gs, 'response': {{'status': status}}, 'meta': {meta(TLS_AS_OF, "page_id % 7 = 0")}}}) AS VARCHAR) AS body FROM q"""
+    return " UNION ALL ".join(f"SELECT * FROM ({x})" for x in (trust, tls, headers, robots))
+
+
 def _tld_oracle() -> str:
     from .inputs import ORACLES as INPUT
 
@@ -355,3 +395,4 @@ SELECT tld, CASE WHEN tld IN ({_LIST(R.TRUSTED_TLDS)}) THEN 20 WHEN tld IN ({_LI
 
 
 ORACLES["tld_score"] = _tld_oracle()
+ORACLES["verdict_json"] = _json_oracle()

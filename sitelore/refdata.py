@@ -31,6 +31,8 @@ PORTS = ("", "80", "443", "8080", "8443")
 #: Path, price in dollars, seconds that a response is cached.
 ENDPOINTS = (("/trustscore", "0.003", 3600), ("/sslcheck", "0.002", 21600), ("/headers", "0.003", 14400), ("/robots", "0.002", 43200))
 PAID_PATHS = tuple(e[0] for e in ENDPOINTS)
+#: What every response says of itself.
+API_VERSION, PAID_WITH = "1.0", "x402/USDC"
 FREE_PATHS = ("/", "/health", "/openapi.json")
 
 #: Whole hosts that are labels and digits: 3 to 253 characters.
