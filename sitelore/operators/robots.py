@@ -34,14 +34,13 @@ def exists(status: Column) -> Column:
 
 def lines_of(body: Column) -> Column:
     """(directive, value, has a colon, is blank) of each line, comments dropped."""
-    def line(raw: Column) -> Column:
-        text = trimmed(F.regexp_replace(raw, "(?s)#.*$", ""))
+    def line(text: Column) -> Column:
         colon = F.instr(text, ":")
         return F.struct(
             F.lower(trimmed(F.substring(text, F.lit(1), F.greatest(colon - 1, F.lit(0))))).alias("directive"), trimmed(F.substring(text, colon + 1, F.length(text))).alias("value"), (colon > 0).alias("ruled"), (text == "").alias("blank")
         )
 
-    return F.transform(F.split(body, "\\r?\\n", -1), line)
+    return F.transform(F.transform(F.split(body, "\\r?\\n", -1), lambda raw: trimmed(F.regexp_replace(raw, "(?s)#.*$", ""))), line)
 
 
 def _groups(rules: Column) -> Column:

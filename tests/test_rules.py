@@ -229,3 +229,114 @@ def test_decisions(spark):
     for r in got:
         assert (r["u"] == "refuse") == (r["t"] == "HIGH_RISK" or r["t"] == "CAUTION" and r["s"] == "EXPIRED")
         assert (r["p"] == "proceed") == (r["t"] in ("TRUSTED", "MODERATE") and r["s"] == "VALID")
+
+
+def test_robots_are_parsed_once(spark):
+    from sitelore.plans import catalog
+
+    from .conftest import SMALL
+
+    for name in ("ai_bot_policies", "robots_tier", "robots_summary"):
+        plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("(?s)#") == 1 and "aggregate(" not in plan
+
+
+def test_many_robots_lines(spark):
+    """Linear in the lines: a fold that copies its groups would take minutes."""
+    import time
+
+    body = "\n".join(f"User-agent: bot{i}\nDisallow: /{i}" for i in range(3_000))
+    began = time.monotonic()
+    got = _robots(spark, body)
+    assert len(got["groups"]) == 3_000 and not got["truncated"] and got["raw_lines"] == 6_000
+    assert time.monotonic() - began < 20
+
+
+def test_strict_rules_of_agents_in_a_row(spark):
+    body = "User-agent: GPTBot\nUser-agent: CCBot\nUser-agent: YouBot\nDisallow: /\n\nUser-agent: Bytespider\nAllow: /x\nUser-agent: Diffbot"
+    rows = spark.createDataFrame([("a", 200, body), ("b", 200, "Allow: /"), ("c", 200, "User-agent: GPTBot")], "domain string, status int, body string")
+    got = {r["domain"]: r for r in robots.crawl_policy(rows, strict=True).collect()}
+    assert [(g["userAgent"], g["allow"], g["disallow"]) for g in got["a"]["groups"]] == [("GPTBot", [], ["/"]), ("CCBot", [], ["/"]), ("YouBot", [], ["/"]), ("Bytespider", ["/x"], []), ("Diffbot", [], [])]
+    assert got["b"]["groups"] == [] and [g["userAgent"] for g in got["c"]["groups"]] == ["GPTBot"]
+
+
+@pytest.mark.parametrize(("location", "want"), [
+    ("/login", "https://a.org/login"), ("c", "https://a.org/x/c"), ("../c", "https://a.org/c"), ("./", "https://a.org/x/"), ("?q=2", "https://a.org/x/y?q=2"), ("#m", "https://a.org/x/y?q=1#m"),
+    ("//B.net:443", "https://b.net/"), ("HTTP://B.net:80/p/../q", "http://b.net/q"), ("mailto:x@y", "mailto:x@y"), ("https://b.net:8443?x", "https://b.net:8443/?x"), ("/a/../../b/.", "https://a.org/b/"),
+])
+def test_relative_locations(spark, location, want):
+    rows = spark.createDataFrame([("https://a.org/x/y?q=1", location)], "base string, location string")
+    assert rows.select(headers.resolved(F.col("base"), F.col("location")).alias("u")).first()["u"] == want
+
+
+HOPS = "url string, status int, location string"
+
+
+def test_redirects_check_each_host(spark):
+    hops = [
+        ("http://a.org/", 302, "/b"), ("http://a.org/b", 301, "//c.org/"), ("http://c.org/", 302, "http://192.168.1.1/x"), ("http://192.168.1.1/x", 200, None), ("http://d.org/", 302, "http:///"), ("http://e.org/", 302, "http://inside.net/"),
+        ("http://inside.net/", 200, None), ("http://10.1.1.1/", 200, None), ("http://f.org/", 302, "http://localhost/"), ("http://g.org/", 302, ""), ("http://[::1]/", 200, None),
+    ]
+    starts = spark.createDataFrame([(u,) for u in ("http://a.org/", "http://d.org/", "http://e.org/", "http://10.1.1.1/", "http://f.org/", "http://g.org/", "http://[::1]/", "http://none.org/")], "url string")
+    frame = spark.createDataFrame(hops, HOPS)
+    got = {r["start"]: (r["final_url"], r["redirects"], r["error"]) for r in headers.follow_redirects(frame, starts).collect()}
+    refused = "Refused: hostname {} resolves to a private address"
+    assert got["http://a.org/"] == ("http://192.168.1.1/x", 3, refused.format("192.168.1.1"))
+    assert got["http://d.org/"][2] == "Invalid redirect Location header"
+    assert got["http://e.org/"] == ("http://inside.net/", 1, None)
+    assert got["http://10.1.1.1/"] == ("http://10.1.1.1/", 0, refused.format("10.1.1.1"))
+    assert got["http://f.org/"][2] == refused.format("localhost") and got["http://[::1]/"][2] == refused.format("::1")
+    assert got["http://g.org/"] == ("http://g.org/", 0, None) and got["http://none.org/"] == ("http://none.org/", 0, None)
+    names = ["a.org", "c.org", "d.org", "e.org", "f.org", "g.org", "inside.net"]
+    hosts = normalize.safe_hosts(spark.createDataFrame([(n,) for n in names], "host string"), spark.createDataFrame([(n, "fd00::1" if n == "inside.net" else "93.184.216.34") for n in names], "host string, addr string"))
+    got = {r["start"]: r["error"] for r in headers.follow_redirects(frame, starts, hosts).collect()}
+    assert got["http://e.org/"] == refused.format("inside.net") and got["http://none.org/"] == refused.format("none.org") and got["http://g.org/"] is None
+
+
+def test_very_many_walks(spark):
+    """More rows than a recursive query may make, a third of them through one URL."""
+    n = 300_000
+    ids = spark.range(n)
+    url = lambda i: F.concat(F.lit("https://h"), i.cast("string"), F.lit(".net/"))
+    hops = ids.select(url(F.col("id")).alias("url"), F.when(F.col("id") % 10 == 0, 200).otherwise(302).alias("status"), F.when(F.col("id") % 3 == 1, "https://h0.net/").otherwise(url(F.col("id") - 1)).alias("location"))
+    got = headers.follow_redirects(hops, hops.select("url")).groupBy("redirects", F.col("error").isNotNull().alias("failed")).agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in got) == n and not any(r["failed"] for r in got) and {r["redirects"] for r in got} == {0, 1, 2}
+
+
+def test_long_chains(spark):
+    edges = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(150)] + [("c150", "c150")], "fingerprint string, issuer_fingerprint string")
+    assert tuple(tls.walk_chains(edges, edges.where("fingerprint = 'c0'").select("fingerprint"), levels=20).first()) == ("c0", 151, "c150")
+
+
+def test_a_busy_key(spark):
+    """200,000 requests of one key, one a second."""
+    import time
+
+    rows = spark.range(200_000).select(F.col("id").alias("request_id"), F.lit("k").alias("k"), F.timestamp_seconds("id").alias("ts")).unionByName(spark.createDataFrame([(-1, None, dt.datetime(1970, 1, 1)), (-2, None, dt.datetime(1970, 1, 2))], "request_id long, k string, ts timestamp"))
+    traffic.cache_trace(rows.limit(10), "k", 14_400).count()
+    began = time.monotonic()
+    got = traffic.cache_trace(rows, "k", 14_400).groupBy("k").agg(F.count_if(~F.col("hit")).alias("misses"), F.count("*").alias("n")).collect()
+    assert {r["k"]: (r["misses"], r["n"]) for r in got} == {"k": (14, 200_000), None: (2, 2)}
+    assert time.monotonic() - began < 10
+
+
+def test_cache_trace_against_a_loop(spark):
+    import random
+
+    rng = random.Random(2)
+    seen = [(i, rng.choice(["a", "b", None]), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(0, 3_000))) for i in range(600)]
+    rows = spark.createDataFrame(seen, "request_id long, k string, ts timestamp")
+    got = {r["request_id"]: r["hit"] for r in traffic.cache_trace(rows, "k", 90).collect()}
+    want, filled = {}, {}
+    for i, k, ts in sorted(seen, key=lambda r: (r[2], r[0])):
+        want[i] = k in filled and ts <= filled[k] + dt.timedelta(seconds=90)
+        if not want[i]:
+            filled[k] = ts
+    assert got == want
+
+
+def test_fifo_by_cache(spark):
+    seen = [(0, "a", "x"), (1, "b", "y"), (2, "c", "x"), (3, "a", "x"), (4, "b", "y"), (5, "d", "x"), (6, "a", "x")]
+    rows = spark.createDataFrame([(i, k, c, dt.datetime(2024, 1, 1, 0, 0, i)) for i, k, c in seen], "request_id long, k string, c string, ts timestamp")
+    got = {r["request_id"]: r["hit"] for r in traffic.fifo_trace(rows, "k", 3600, most=2, cache="c").collect()}
+    assert got == {0: False, 1: False, 2: False, 3: True, 4: True, 5: False, 6: False}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,34 @@ def test_table_functions(spark):
     assert spark.sql("select 1 from scored_tls t, lateral tls_verdict(t.days_remaining, t.is_self_signed, t.auth_error, t.trusted, t.score) f where f.tier <> t.tier").count() == 0
 
 
+def test_header_and_crawl_table_functions(spark):
+    sql.register(spark)
+    headers, policy = verdicts.QUERIES["header_grade"](spark, SMALL), verdicts._policy(spark, SMALL)
+    headers.createOrReplaceTempView("audited")
+    policy.select("tier", "exists", "global_block", F.col("blocked").cast("int"), F.col("partial").cast("int")).createOrReplaceTempView("policies")
+    graded = spark.sql("select a.grade as want, f.grade from audited a, lateral header_verdict(a.score) f")
+    assert graded.where("want <> grade").count() == 0 and graded.count() == headers.count()
+    tiers = spark.sql("select p.tier as want, f.tier from policies p, lateral crawl_verdict(p.exists, p.global_block, p.blocked, p.partial) f")
+    assert tiers.where("want <> tier").count() == 0 and tiers.count() == policy.count()
+
+
+def test_free_paths(spark):
+    got = {r["path"]: json.loads(r["body"]) for r in verdicts.service_documents(spark, SMALL).collect()}
+    assert set(got) == {"/", "/health", "/openapi.json"} and got["/health"] == {"status": "ok", "timestamp": "2001-06-01T00:00:00.000Z"}
+    assert got["/"]["endpoints"]["GET /headers"] == {"price": "$0.003 USDC", "params": {"url": "string"}, "example": "/headers?url=https://example.com"}
+    paths = got["/openapi.json"]["paths"]
+    assert set(paths) == {"/", "/health", "/openapi.json", "/trustscore", "/sslcheck", "/headers", "/robots"} and set(paths["/robots"]["get"]["responses"]) == {"200", "400", "402", "429", "502"}
+
+
+def test_bodies_have_all_fields(spark):
+    got = {r["kind"]: json.loads(r["body"]) for r in verdicts.verdict_json(spark, SMALL).collect()}
+    assert set(got["tls"]) == {"domain", "score", "maxScore", "tier", "breakdown", "warnings", "certificate", "chain", "connection", "meta"}
+    assert set(got["trust"]) == {"domain", "score", "maxScore", "tier", "breakdown", "details", "meta"}
+    assert set(got["headers"]) == {"url", "hostname", "grade", "score", "maxScore", "analysis", "warnings", "response", "meta"}
+    assert set(got["robots"]) == {"domain", "exists", "tier", "aiFriendly", "summary", "ai", "sitemaps", "userAgents", "response", "meta"}
+    assert all(set(b["meta"]) == {"checkedAt", "apiVersion", "paidWith", "cached"} for b in got.values())
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("/robots", 200, '{"a":1}'), ("/robots", 502, "<html>")], "path string, status int, text string")
     got = rows.select("status", sinks.tool_result(F.col("path"), F.col("status"), F.col("text")).alias("r"), sinks.error_body(F.col("status"), F.lit("e"), F.lit("m"), F.lit("d")).alias("b")).orderBy("status").collect()
