@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -418,3 +419,68 @@ def test_decontamination_edges(spark, edges, nothing):
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(edges, items).collect()}
     assert got == {(9, None), (9, 5), (4, 6)}
     assert decontam.contaminated(nothing, items).count() == 0 and decontam.contaminated(edges, items.limit(0)).count() == 0
+
+
+def plain_distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def plain_features(text: str, terms: list, weights: np.ndarray) -> list[float]:
+    """A document's features by loops: every word against every term."""
+    raw = [w for w in re.split("[\t\n\x0b\x0c\r ]", text)]
+    found = {}
+    for i, w in enumerate(raw):
+        own = w.strip(toxicity._STRIP).lower()
+        whole = min(((plain_distance(own, t.text), n) for n, t in enumerate(terms) if not t.stem and abs(len(own) - len(t.text)) <= t.errors and plain_distance(own, t.text) <= t.errors), default=None)
+        stems = min(((len(t.text), n) for n, t in enumerate(terms) if t.stem and own.startswith(t.text)), default=None)
+        if whole or stems:
+            found[i] = whole or (0, stems[1])
+    n = sum(w != "" for w in raw)
+    out = [math.log1p(n)] + [0.0] * 11
+    if not found:
+        return out
+    kinds, weight, quoted, addressed, places = Counter(), 0.0, 0, 0, sorted(found)
+    for i, (errors, term) in sorted(found.items()):
+        lo, hi = max(0, i - toxicity.WINDOW), min(len(raw), i + toxicity.WINDOW + 1)
+        plain = [w.strip(toxicity._STRIP).lower() for w in raw[lo:hi]]
+        marks = lambda ws: any(q in w for w in ws for q in toxicity._QUOTES)
+        q = (raw[i][:1] in toxicity._QUOTES and raw[i][-1:] in toxicity._QUOTES) or (marks(raw[lo:i]) and marks(raw[i + 1 : hi])) or any(w in toxicity._REPORTING for w in plain)
+        a = any(w in toxicity._ADDRESS for w in plain)
+        kinds["stem" if terms[term].stem else "fuzzy" if errors else "exact"] += 1
+        quoted, addressed = quoted + q, addressed + a
+        weight += (0.25 if q else 1.0) * (1.5 if a else 1.0) * (1 - 0.3 * errors) * weights[term]
+    worst = max(sum(p <= x <= p + 50 for x in places) for p in places)
+    size, k = max(1, n), len(places)
+    tail = [kinds["exact"] / size * 100, kinds["stem"] / size * 100, k / size * 100, worst, quoted / k, addressed / k, math.log1p(weight), len({t for _, t in found.values()})]
+    return [out[0], *(math.log1p(kinds[x]) for x in ("exact", "fuzzy", "stem")), *tail]
+
+
+def test_scores_by_brute_force(spark):
+    """Every score of the query's operator on small tables."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    train = [spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels")]
+    model = toxicity.train(*train)
+    terms, weights = [t for t, _ in model.terms], np.array([w for _, w in model.terms])
+    rows = docs.where("length(text) < 6000").collect()
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score(docs, model).collect()}
+    x = np.array([plain_features(r["text"] or "", terms, weights) for r in rows])
+    for r, p in zip(rows, model.trees.probability(x).tolist(), strict=True):
+        assert abs(got[r["doc_id"]][0] - p) < 1e-9 and got[r["doc_id"]][1] == (got[r["doc_id"]][0] >= 0.5)
+
+
+def test_kept_by_brute_force(spark):
+    """The decision list row by row: the first rule that holds rejects."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    out, rules = quality.quality_rules(docs, labels)
+    assert rules
+    for r in out.collect():
+        n, lines = max(r["n_words"], 1), max(r["n_lines"], 1)
+        own = {"words": float(r["n_words"]), "mean_word": r["word_chars"] / n, "symbols_per_word": r["n_symbols"] / n, "dup_line_share": r["n_dup_lines"] / lines, "repeat_share": r["n_repeat_words"] / n, "words_per_line": r["n_words"] / lines}
+        failed = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
+        bad = any(all(own[name] >= limit if at_least else own[name] < limit for name, at_least, limit in rule.conditions) for rule in rules)
+        assert (r["base_failed"], r["kept"]) == (failed, not failed and not bad)
