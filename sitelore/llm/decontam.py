@@ -241,11 +241,11 @@ class Index:
             for t, e, place in zip(text[good].tolist(), entry[good].tolist(), first[good].tolist(), strict=True):
                 hits.setdefault((t, e), []).append(place)
 
-        for a in range(0, len(exact_starts), 1_000_000):
-            keep(exact_starts[a : a + 1_000_000], exact_entries[a : a + 1_000_000])
+        for a in range(0, len(exact_starts), 400_000):
+            keep(exact_starts[a : a + 400_000], exact_entries[a : a + 400_000])
         walks = np.array([len(self.plans[n][0]) if n in self.plans else 0 for n in range(int(lengths.max(initial=0)) + 1)])
         rows = np.cumsum(walks[lengths]) if len(lengths) else np.zeros(0, np.int64)
-        for a, b in zip(*_cuts(rows, 1_000_000), strict=True):
+        for a, b in zip(*_cuts(rows, 400_000), strict=True):
             n, first = lengths[a:b], starts[a:b]
             text = np.searchsorted(edge, first, "right") - 1
             room = edge[text + 1] - first
