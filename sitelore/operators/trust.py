@@ -18,18 +18,30 @@ def _key(whois: Column, *names: str) -> Column:
 
 def age_score(created: Column, as_of: Column) -> tuple[Column, Column, Column]:
     """(days, score, label); days -1 where the date is unknown."""
-    days = elapsed_days(as_of, created)
+    return age_points(elapsed_days(as_of, created))
+
+
+def age_points(days: Column) -> tuple[Column, Column, Column]:
     steps = ((1825, 30, "established (5+ years)"), (730, 25, "mature (2–5 years)"), (365, 18, "growing (1–2 years)"), (90, 10, "new (90d–1yr)"))
-    score, label = F.when(created.isNull(), 0), F.when(created.isNull(), "unknown")
+    score, label = F.when(days.isNull(), 0), F.when(days.isNull(), "unknown")
     for least, points, name in steps:
         score, label = score.when(days > least, points), label.when(days > least, name)
     return F.coalesce(days, F.lit(-1)), score.otherwise(2).cast("int"), label.otherwise("very new (<90 days)")
 
 
+def top_level(domain: Column) -> Column:
+    """The last label with its dot."""
+    return F.concat(F.lit("."), F.lower(F.split_part(domain, F.lit("."), F.lit(-1))))
+
+
+def tld_points_of(tld: Column) -> Column:
+    return F.when(tld.isin(*R.TRUSTED_TLDS), 20).when(tld.isin(*R.RISKY_TLDS), 0).otherwise(10).cast("int")
+
+
 def tld_score(domain: Column | str) -> tuple[Column, Column]:
     """(label with its dot, score)."""
-    tld = F.concat(F.lit("."), F.lower(F.split_part(col(domain), F.lit("."), F.lit(-1))))
-    return tld, F.when(tld.isin(*R.TRUSTED_TLDS), 20).when(tld.isin(*R.RISKY_TLDS), 0).otherwise(10).cast("int")
+    tld = top_level(col(domain))
+    return tld, tld_points_of(tld)
 
 
 def dns_score(has_a: Column, mx: Column) -> tuple[Column, Column, Column]:
@@ -41,8 +53,11 @@ def dns_score(has_a: Column, mx: Column) -> tuple[Column, Column, Column]:
 
 def registrar_score(registrar: Column) -> tuple[Column, Column]:
     """(name shown, score); an unknown registrar scores as an unlisted one."""
-    known = contains_any(F.lower(registrar), R.REGISTRARS)
-    return F.coalesce(first_text(registrar), F.lit("unknown")), F.when(known, 20).otherwise(10).cast("int")
+    return F.coalesce(first_text(registrar), F.lit("unknown")), registrar_points_of(F.lower(registrar))
+
+
+def registrar_points_of(low: Column) -> Column:
+    return F.when(contains_any(low, R.REGISTRARS), 20).otherwise(10).cast("int")
 
 
 def tier(score: Column) -> Column:
@@ -56,11 +71,12 @@ def trust_score(inputs: DataFrame, whois: DataFrame, dns: DataFrame, as_of: Colu
     a probe that failed is a missing row.
     """
     found = inputs.select("domain").distinct().join(whois.select("domain", "whois"), "domain", "left").join(dns.select("domain", "has_a", "mx"), "domain", "left")
-    found = staged(found, {"_created": to_time(_key(F.col("whois"), *CREATED_KEYS))})
-    days, age, label = age_score(F.col("_created"), as_of)
-    tld, tld_points = tld_score("domain")
+    found = staged(found, {"_created": to_time(_key(F.col("whois"), *CREATED_KEYS)), "_registrar": _key(F.col("whois"), *REGISTRAR_KEYS), "_tld": top_level(F.col("domain"))})
+    found = staged(found, {"_days": elapsed_days(as_of, F.col("_created")), "_low": F.lower("_registrar")})
+    days, age, label = age_points(F.col("_days"))
+    tld, tld_points = F.col("_tld"), tld_points_of(F.col("_tld"))
     dns_points, has_mx, mx = dns_score(F.coalesce("has_a", F.lit(False)), F.col("mx"))
-    registrar, registrar_points = registrar_score(_key(F.col("whois"), *REGISTRAR_KEYS))
+    registrar, registrar_points = F.coalesce(first_text("_registrar"), F.lit("unknown")), registrar_points_of(F.col("_low"))
     out = found.select(
         "domain", days.alias("age_days"), label.alias("age_label"), age.alias("age_score"), tld.alias("tld"), tld_points.alias("tld_score"),
         F.coalesce("has_a", F.lit(False)).alias("has_a"), has_mx.alias("has_mx"), mx.alias("mx_records"), dns_points.alias("dns_score"),
