@@ -160,3 +160,51 @@ def test_sinks(spark, tmp_path):
 def test_strict_hosts(spark, raw, host):
     assert strict_host(raw) == host
     assert spark.createDataFrame([(raw,)], "r string").select(normalize_strict("r").alias("h")).first()["h"] == host
+
+
+def test_hub_join_equals_a_join(spark):
+    from sitelore.functions.joins import hub_join
+
+    rows = spark.range(3_000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 40).alias("k"), F.col("id").alias("v"))
+    found = rows.where("k is not null and k <> 5").groupBy("k").agg(F.max("v").alias("top"), F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        got = hub_join(rows, found, ["k"], 3_000, how)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert got.columns == ["k", "v", "top"] and "n#" in plan
+        want = rows.join(found.drop("n"), "k", how).select("k", "v", "top")
+        key = lambda r: tuple(-1 if x is None else x for x in r)
+        assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from sitelore import scratch
+
+    table = scratch.written(spark.range(5).toDF("x"), "t")
+    path = table._scratch.removeprefix("file:")
+    assert table.count() == 5 and os.path.isdir(path)
+    scratch.release(table, None)
+    assert not os.path.isdir(path)
+    table = scratch.written(spark.range(5).toDF("x"), "t")
+    scratch.clear_scratch(spark)
+    assert not os.path.isdir(table._scratch.removeprefix("file:"))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from sitelore import scratch
+
+    class Unset:
+        def isDefined(self):
+            return False
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: Unset()})()})()
+
+    class Session:
+        conf = type("C", (), {"get": lambda self, key, default=None: default})()
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(Session())
